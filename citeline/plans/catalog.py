@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeline.plans import conversations, documents, pages, research, responses, web  # noqa: F401
+from citeline.plans import conversations, documents, events, pages, research, responses, web  # noqa: F401
 from citeline.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -22,10 +22,12 @@ from citeline.sources.tables import read_table, spread
 RUN = "corpus"
 
 
-def corpus_sources(spark, base):
+def corpus_sources(spark, base, numbered: bool = True):
     d = spread(read_table(spark, base, "documents", "doc_id", "text"))
     d = d.select(F.lit(RUN).alias("research_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("step"),
                  doc_title().alias("title"), F.lit("").alias("description"), F.col("text").alias("content"))
+    if not numbered:
+        return d
     return number_within(d, ["research_id"], ["step", "seq"], "citation_index", block_of="seq")
 
 
@@ -39,7 +41,7 @@ def corpus_sections(spark, base):
 
 
 def relevance(spark, base):
-    return rv.section_relevance(corpus_sections(spark, base), corpus_sources(spark, base))
+    return rv.section_relevance(corpus_sections(spark, base), corpus_sources(spark, base, numbered=False))
 
 
 SQL_SECTIONS = f"""
@@ -86,5 +88,5 @@ FROM sec LEFT JOIN sel ON sel.sec_id = sec.item_id LEFT JOIN fb ON fb.sec_id = s
 def section_context(spark, base):
     """C5+B2+C6+A3: the evidence block handed to the section writer."""
     secs, srcs = corpus_sections(spark, base), corpus_sources(spark, base)
-    rel = rv.section_relevance(secs, srcs)
+    rel = rv.section_relevance(secs, corpus_sources(spark, base, numbered=False))
     return rv.section_context(secs, srcs, rel).drop("research_id")
