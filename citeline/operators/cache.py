@@ -27,38 +27,59 @@ from pyspark.sql import functions as F
 TTL_HOURS = 6
 
 
+def fold_key(t: np.ndarray, good: np.ndarray, anchor: int | None, ttl_us: int):
+    """Hit flags and anchors for the sorted request times ``t`` of one key,
+    starting from ``anchor`` (microseconds, or None); returns the final anchor.
+    The loop advances once per miss: a run of hits is skipped by binary search."""
+    n = len(t)
+    hit = np.zeros(n, dtype=bool)
+    anchor_out = np.full(n, NO_ANCHOR, dtype=np.int64)
+    a, i = anchor, 0
+    while i < n:
+        if a is not None and t[i] - a < ttl_us:
+            j = int(np.searchsorted(t, a + ttl_us, side="left"))
+            hit[i:j] = True
+            anchor_out[i:j] = a
+            i = j
+            continue
+        if good[i]:
+            a = int(t[i])
+        if a is not None:
+            anchor_out[i] = a
+        i += 1
+    return hit, anchor_out, a
+
+
+NO_ANCHOR = np.iinfo(np.int64).min
+
+
+def to_micros(s: pd.Series) -> np.ndarray:
+    return s.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
+def from_micros(a: np.ndarray) -> pd.Series:
+    return pd.Series(np.where(a == NO_ANCHOR, np.datetime64("NaT"), a.astype("datetime64[us]")))
+
+
 def _ttl_batches(batches: Iterator[pd.DataFrame], key: str, ts: str, ok: str, ttl_us: int):
     cur_key, anchor = None, None          # carried across batches of one partition
     for pdf in batches:
         if pdf.empty:
             continue
         keys = pdf[key].to_numpy()
-        t = pdf[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+        t = to_micros(pdf[ts])
         good = pdf[ok].to_numpy().astype(bool)
         hit = np.zeros(len(pdf), dtype=bool)
-        anchor_out = np.full(len(pdf), np.iinfo(np.int64).min, dtype=np.int64)
+        anchor_out = np.full(len(pdf), NO_ANCHOR, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         ends = np.r_[starts[1:], len(pdf)]
         for s, e in zip(starts, ends):
-            a = anchor if keys[s] == cur_key else None
-            i = s
-            while i < e:
-                if a is not None and t[i] - a < ttl_us:
-                    # every request before anchor + ttl is a hit
-                    j = s + int(np.searchsorted(t[s:e], a + ttl_us, side="left"))
-                    hit[i:j] = True
-                    anchor_out[i:j] = a
-                    i = j
-                    continue
-                if good[i]:
-                    a = t[i]
-                anchor_out[i] = a if a is not None else anchor_out[i]
-                i += 1
+            a0 = anchor if keys[s] == cur_key else None
+            hit[s:e], anchor_out[s:e], a = fold_key(t[s:e], good[s:e], a0, ttl_us)
             cur_key, anchor = keys[s], a
         out = pdf.copy()
         out["hit"] = hit
-        out["anchor"] = pd.to_datetime(np.where(anchor_out == np.iinfo(np.int64).min, np.datetime64("NaT"),
-                                                anchor_out.astype("datetime64[us]")))
+        out["anchor"] = from_micros(anchor_out).to_numpy()
         yield out
 
 
