@@ -74,3 +74,27 @@ def format_results(results: DataFrame, group: list[str], order: list[str], title
     return top.groupBy(*group).agg(
         F.array_join(ordered_values(F.collect_list(F.struct(F.col("_i"), part.alias("p"))), "p"), NL)
         .alias("results_text"))
+
+
+# Fixed value: title prefix of a deep-dive section.
+DIVE_PREFIX = "Exploration approfondie: "
+DIVE_TOPICS = 3
+
+
+def deep_dive(subtopic_text: "DataFrame", results: DataFrame, run: str = "research_id") -> DataFrame:
+    """DD1: one level of deep dive.
+
+    ``subtopic_text`` (run, text): the generator's sub-topic list, parsed by
+    the L4 rule (first three); ``results`` (run, sub_no, seq, title, url,
+    snippet): sources found for each sub-topic.  Returns (run, sub_no,
+    subtopic, section_title, info) where ``info`` is the result block (C3)
+    handed to the section writer."""
+    from citeline.operators.parse import subtopic_items
+
+    subs = subtopic_text.select(run, F.posexplode(F.slice(subtopic_items(F.col("text")), 1, DIVE_TOPICS))
+                                .alias("sub_no", "subtopic"))
+    info = format_results(results, [run, "sub_no"], ["seq"])
+    return (subs.join(info, [run, "sub_no"], "left")
+            .select(run, F.col("sub_no").cast("long").alias("sub_no"), "subtopic",
+                    F.concat(F.lit(DIVE_PREFIX), F.col("subtopic")).alias("section_title"),
+                    F.coalesce("results_text", F.lit("")).alias("info")))
