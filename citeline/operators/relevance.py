@@ -101,6 +101,9 @@ def section_context(sections: DataFrame, sources: DataFrame, relevance: DataFram
     while the characters taken before stay within 3000 (the crossing block is
     kept).  With nothing selected: the first five visible sources (500
     characters, non-empty), else a fixed sentence.
+
+    ``sources`` carry citation numbers dense per run in arrival order
+    (``step``, ``src``), as ``register_sources`` / ``number_within`` give.
     """
     s = sources.select(run, src, "step", "citation_index", "title", "content")
     order = [F.col("score").desc(), F.col("step"), F.col(src)]
@@ -116,8 +119,10 @@ def section_context(sections: DataFrame, sources: DataFrame, relevance: DataFram
         F.struct(F.col("_rk"), _block("citation_index", "title", F.col("_snip")).alias("b"))), "b"), "\n")
         .alias("_sel"))
 
-    first = (s.withColumn("_k", F.row_number().over(Window.partitionBy(run).orderBy("step", src)))
-             .where(F.col("_k") <= FALLBACK_SOURCES)
+    # citation numbers are dense in arrival order, so the first five sources
+    # of a run are simply numbers 1..5: a filter, no window
+    first = (s.where(F.col("citation_index") <= FALLBACK_SOURCES)
+             .withColumn("_k", F.col("citation_index"))
              .withColumn("_snip", F.left("content", F.lit(FALLBACK_SNIPPET)))
              .where(F.length("_snip") > 0)
              .select(run, F.col("step").alias("_src_step"), "_k", _block("citation_index", "title", F.col("_snip"))
