@@ -108,8 +108,9 @@ def page_publish_date(html: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """``len(s.split())`` with Unicode whitespace."""
-    return F.regexp_count(c, F.lit(P["word"]))
+    """``len(s.split())`` with Unicode whitespace (split on whitespace runs,
+    drop the empty edge pieces; cheaper than counting regex matches)."""
+    return F.size(F.array_remove(F.split(c, P["ws_run"], -1), ""))
 
 
 def cache_key(url: Column) -> Column:

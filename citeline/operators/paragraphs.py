@@ -69,10 +69,11 @@ def paragraph_scores(df: DataFrame, key: str, text: str, sep: str = JOIN_SEP) ->
 def top_paragraphs(df: DataFrame, key: str, text: str, sep: str = JOIN_SEP,
                    max_chars: int = 15000, top_n: int = TOP_N) -> DataFrame:
     """One row per selected paragraph after the budget: (key, rank, pos, score, piece)."""
-    ranked = ranked_expr(F.col(text), sep, top_n)
-    pieces = budget_truncate(F.transform(ranked, lambda x: x["p"]), max_chars)
-    sel = F.arrays_zip(ranked.alias("r"), pieces.alias("piece"))
-    return (df.select(key, F.posexplode(sel).alias("i", "z"))
+    # rank once, then budget: two projections, so the ranking is not evaluated twice
+    ranked = df.select(key, ranked_expr(F.col(text), sep, top_n).alias("_r"))
+    pieces = budget_truncate(F.transform(F.col("_r"), lambda x: x["p"]), max_chars)
+    sel = F.arrays_zip(F.col("_r").alias("r"), pieces.alias("piece"))
+    return (ranked.select(key, F.posexplode(sel).alias("i", "z"))
             .where(F.col("z.piece").isNotNull())
             .select(key, (F.col("i") + 1).alias("rank"), F.col("z.r.pos").alias("pos"),
                     (-F.col("z.r.neg_score")).alias("score"), F.col("z.piece").alias("piece")))
