@@ -42,7 +42,7 @@ NO_INFO = "Information non disponible pour cette section."
 
 
 def _words(c):
-    return F.split(tx.py_strip(c), tx.WS + "+", -1)
+    return tx.words(c)
 
 
 def section_keywords(sections: DataFrame, run: str, sec: str, title: str = "title",
@@ -53,25 +53,45 @@ def section_keywords(sections: DataFrame, run: str, sec: str, title: str = "titl
             .groupBy(run, sec, step, "kw").agg(F.count(F.lit(1)).alias("mult")))
 
 
+def _token_keywords(tokens: DataFrame, kws: DataFrame) -> DataFrame:
+    """(…, token, kw) for every keyword inside a token: the token's 4-grams
+    are equi-joined with the keywords' first four characters, then the whole
+    keyword is compared at that position."""
+    grams = tokens.select("*", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.length("token") - (GRAM - 1)),
+        lambda i: F.substring(F.col("token"), i, GRAM))).alias("_i", "g"))
+    return (grams.join(kws, "g")
+            .where(F.substring(F.col("token"), F.col("_i") + 1, F.length("kw")) == F.col("kw"))
+            .drop("g", "_i"))
+
+
 def source_keywords(sources: DataFrame, keys: list[str], keywords: DataFrame,
-                    text_cols: tuple[str, ...] = ("content", "title", "description")) -> DataFrame:
-    """(keys..., kw): every keyword of ``keywords`` contained in each source."""
+                    text_cols: tuple[str, ...] = ("content", "title", "description"),
+                    strategy: str = "vocabulary") -> DataFrame:
+    """(keys..., kw): every keyword of ``keywords`` contained in each source.
+
+    ``strategy='vocabulary'`` matches keywords against the distinct tokens of
+    the whole corpus once and joins the (token, keyword) pairs back — the
+    matching work grows with the vocabulary; the join back is a broadcast
+    when AQE finds the pairs small at run time.  ``strategy='direct'``
+    matches each source's own distinct tokens — no shuffle before the final
+    distinct, more matching work when tokens repeat across sources.
+    """
     body = F.lower(F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in text_cols]))
-    toks = F.filter(F.array_distinct(_words(body)), lambda t: F.length(t) >= GRAM)
-    src_tok = sources.select(*keys, F.explode(toks).alias("token"))
-    vocab = src_tok.select("token").distinct()
-    grams = vocab.select("token", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.length("token") - (GRAM - 1)),
-        lambda i: F.substring(F.col("token"), i, GRAM))).alias("i", "g"))
     kws = keywords.select("kw").distinct().select("kw", F.left("kw", F.lit(GRAM)).alias("g"))
-    token_kw = (grams.join(kws, "g")
-                .where(F.substring(F.col("token"), F.col("i") + 1, F.length("kw")) == F.col("kw"))
-                .select("token", "kw").distinct())
+    src_tok = sources.select(*keys, F.explode(F.array_distinct(_words(body))).alias("token"))
+    # a token shorter than a keyword cannot contain one
+    if strategy == "direct":
+        return (_token_keywords(src_tok.where(F.length("token") >= GRAM), kws)
+                .select(*keys, "kw").distinct())
+    vocab = src_tok.where(F.length("token") >= GRAM).select("token").distinct()
+    token_kw = _token_keywords(vocab, kws).select("token", "kw").distinct()
     return src_tok.join(token_kw, "token").select(*keys, "kw").distinct()
 
 
 def section_relevance(sections: DataFrame, sources: DataFrame, run: str = "research_id",
-                      sec: str = "sec_id", src: str = "seq", asof: bool = True) -> DataFrame:
+                      sec: str = "sec_id", src: str = "seq", asof: bool = True,
+                      strategy: str = "vocabulary") -> DataFrame:
     """C4+A2+C7: (run, sec, src, score) for every visible source with score > 0.
 
     ``sections``: run, sec, step, title.  ``sources``: run, src, step, content,
@@ -80,7 +100,7 @@ def section_relevance(sections: DataFrame, sources: DataFrame, run: str = "resea
     """
     skw = section_keywords(sections, run, sec)
     s = sources.select(F.col(run), F.col(src), F.col("step").alias("_src_step"), "content", "title", "description")
-    kkw = source_keywords(s, [run, src, "_src_step"], skw)
+    kkw = source_keywords(s, [run, src, "_src_step"], skw, strategy=strategy)
     cond = [run, "kw"]
     j = skw.join(kkw, cond)
     if asof:

@@ -62,3 +62,15 @@ def test_cache_key(spark):
     url = "https://example.com/a?b=c"
     got = run(spark, tx.cache_key, [url])[0]
     assert got == hashlib.sha256(url.encode()).hexdigest()[:16]
+
+
+def test_whitespace_sets_match_python():
+    every = {chr(i) for i in range(0x110000) if chr(i).isspace()}
+    assert set(tx.WS_CHARS) == every
+
+
+def test_words_like_python_split(spark):
+    samples = ["", "   ", " a  b\tc\n", "x y\xa0\x1cz　", "one"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "id int, s string")
+    got = [r.w for r in df.orderBy("id").select(tx.words(F.col("s")).alias("w")).collect()]
+    assert got == [s.split() for s in samples]
