@@ -36,3 +36,22 @@ def page_ingest_stream(spark, base):
     out = run_to_table(ingest_pages(page_stream(spark, base, "pages.parquet"), SOURCE_CONTENT_MAX),
                        f"ingest-{uuid.uuid4().hex}")
     return out.select("page_id", "url", "title", "description", "publish_date", "content")
+
+
+@query("url_dedup_stream", f"""
+SELECT DISTINCT research_id, url FROM (
+  SELECT {sq.site('url')} AS research_id, url FROM pages
+  UNION ALL SELECT {sq.site('url')}, url || '#missing' FROM pages)""")
+def url_dedup_stream(spark, base):
+    """ST2: first-seen URL dedup per run on a request stream (each page URL
+    is requested twice and a missing URL once per page)."""
+    from citeline.plans.pages import site_col
+    from citeline.plans.web import MISSING
+    from citeline.streaming.ingest import first_seen_stream
+
+    p = page_stream(spark, base, "pages.parquet").withColumn("research_id", site_col())
+    req = (p.select("research_id", "url")
+           .unionByName(p.select("research_id", "url"))
+           .unionByName(p.select("research_id", F.concat("url", F.lit(MISSING)).alias("url"))))
+    out = run_to_table(first_seen_stream(req, ["research_id", "url"]), f"dedup-{uuid.uuid4().hex}")
+    return out.select("research_id", "url")
