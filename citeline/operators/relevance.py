@@ -8,18 +8,21 @@ keyword occurring anywhere in lower(content || title || description).
 The containment test is a theta join; done naively it compares every
 keyword with every source text.  Because a keyword has no whitespace, it
 occurs in a text exactly when it occurs inside one whitespace-free token of
-that text.  So the join runs on the token *vocabulary*:
-
-1. tokens of each source (``array_distinct`` per row, narrow);
-2. the distinct vocabulary is cut into 4-grams and equi-joined with the
-   keywords' first four characters, then verified — this finds every
-   (token, keyword) with keyword ⊂ token and grows with the vocabulary, not
-   with the text volume;
-3. (token, keyword) pairs are joined back to source tokens — a small
-   table, which AQE broadcasts when its runtime size allows;
-4. (source, keyword) is equi-joined with (section, keyword) on the run and
+that text, so matching runs on tokens:
+
+1. the distinct tokens of each source (``array_distinct`` per row, narrow);
+2. each token's 4-grams are equi-joined with the keywords' first four
+   characters (a small table, broadcast when AQE measures it small) and the
+   whole keyword is verified at that position — a hash probe per gram, no
+   nested loop, work linear in the text;
+3. (source, keyword) is equi-joined with (section, keyword) on the run and
    the keyword, with the as-of condition ``source.step <= section.step``,
    and multiplicities are summed.
+
+``strategy='vocabulary'`` instead matches the corpus-wide distinct tokens
+once and joins (token, keyword) pairs back to the sources; it pays a second
+tokenisation and a shuffle of the vocabulary, and wins only when tokens
+repeat heavily across sources and the pairs table stays small.
 """
 
 from __future__ import annotations
@@ -67,7 +70,7 @@ def _token_keywords(tokens: DataFrame, kws: DataFrame) -> DataFrame:
 
 def source_keywords(sources: DataFrame, keys: list[str], keywords: DataFrame,
                     text_cols: tuple[str, ...] = ("content", "title", "description"),
-                    strategy: str = "vocabulary") -> DataFrame:
+                    strategy: str = "direct") -> DataFrame:
     """(keys..., kw): every keyword of ``keywords`` contained in each source.
 
     ``strategy='vocabulary'`` matches keywords against the distinct tokens of
@@ -91,7 +94,7 @@ def source_keywords(sources: DataFrame, keys: list[str], keywords: DataFrame,
 
 def section_relevance(sections: DataFrame, sources: DataFrame, run: str = "research_id",
                       sec: str = "sec_id", src: str = "seq", asof: bool = True,
-                      strategy: str = "vocabulary") -> DataFrame:
+                      strategy: str = "direct") -> DataFrame:
     """C4+A2+C7: (run, sec, src, score) for every visible source with score > 0.
 
     ``sections``: run, sec, step, title.  ``sources``: run, src, step, content,

@@ -41,9 +41,14 @@ def brute_scores(srcs, secs):
     return out
 
 
-def test_relevance_matches_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("strategy", ["direct", "vocabulary"])
+def test_relevance_matches_brute_force(spark, strategy):
     srcs, secs, src_df, sec_df = fixture(spark)
-    got = {(r.sec_id, r.seq): r.score for r in rv.section_relevance(sec_df, src_df).collect()}
+    got = {(r.sec_id, r.seq): r.score
+           for r in rv.section_relevance(sec_df, src_df, strategy=strategy).collect()}
     assert got == brute_scores(srcs, secs)
     assert got  # the fixture produces matches
 
