@@ -57,3 +57,21 @@ def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     row = F.struct(*[F.col(c) for c in rest])
     return (df.groupBy(*keys).agg(F.min_by(row, ordkey).alias("_r"))
             .select(*keys, *[F.col("_r")[c].alias(c) for c in rest]))
+
+
+# Spark plans ``row_number() <= n`` as a partial, pre-shuffle group limit only
+# up to spark.sql.optimizer.windowGroupLimitThreshold (default 1000).
+GROUP_LIMIT_MAX = 1000
+
+
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, out: str = "_rank",
+            block_of: str | None = None) -> DataFrame:
+    """The first ``n`` rows of every group (rank column ``out`` kept).
+
+    Small ``n``: ``row_number() <= n``, which Spark limits per map task before
+    the shuffle, so a hot group sends at most ``n`` rows per task.  Larger
+    ``n``: block-wise dense numbering (no group in one task), then a filter."""
+    if n <= GROUP_LIMIT_MAX or block_of is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= n)
+    return number_within(df, keys, order, out, block_of=block_of).where(F.col(out) <= n)

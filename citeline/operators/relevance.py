@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from citeline.functions import text as tx
 from citeline.functions.arrays import ordered_values
+from citeline.operators.ordering import first_n
 
 KEYWORD_MIN = 3        # keywords are strictly longer than this
 GRAM = KEYWORD_MIN + 1
@@ -168,8 +169,7 @@ def assemble_sections(sections: DataFrame, run: str, order: str, title: str, bod
     piece = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body))
     d = sections.select(run, order, piece.alias("_p"))
     if max_chars is not None:
-        d = (d.withColumn("_k", F.row_number().over(Window.partitionBy(run).orderBy(order)))
-             .where(F.col("_k") <= max_chars // 5 + 1))
+        d = first_n(d, [run], [order], max_chars // 5 + 1, block_of=order)
     text = F.array_join(ordered_values(F.collect_list(F.struct(F.col(order), F.col("_p"))), "_p"), "\n\n")
     if max_chars is not None:
         text = F.left(text, F.lit(max_chars))
