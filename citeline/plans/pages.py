@@ -67,3 +67,25 @@ SELECT page_id, url, left(sha256(url), 16) AS cache_key FROM pages
 def cache_keys(spark, base):
     """Cache key of every page URL."""
     return read_table(spark, base, "pages", "page_id", "url").withColumn("cache_key", tx.cache_key(F.col("url")))
+
+
+def tagged_html():
+    """Each page with a description meta tag (content before name, value = its
+    URL) and a date meta tag (month from its id) in front of its HTML."""
+    month = F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0")
+    return F.concat(F.lit('<meta content="'), F.col("url"), F.lit('" name="description">'),
+                    F.lit('<meta name="date" content="2024-'), month, F.lit('-01T00:00:00Z">'), F.col("html"))
+
+
+SQL_TAGGED = ("'<meta content=\"' || url || '\" name=\"description\">' || '<meta name=\"date\" content=\"2024-' "
+              "|| lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-01T00:00:00Z\">' || html")
+
+
+@query("page_metadata_tagged", f"""
+SELECT page_id, {sq.title('h')} AS title, {sq.description('h')} AS description,
+       {sq.publish_date('h')} AS publish_date
+FROM (SELECT page_id, {SQL_TAGGED} AS h FROM pages)""")
+def page_metadata_tagged(spark, base):
+    """T4-T7 on pages carrying description and date meta tags."""
+    p = load_pages(spark, base, "page_id", "url", "html").select("page_id", tagged_html().alias("html"))
+    return pg.with_metadata(p).drop("html")
