@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from citeline.functions import text as tx
 from citeline.functions.arrays import ordered_values
-from citeline.operators.ordering import first_n
+from citeline.operators.ordering import first_n, number_within
 
 KEYWORD_MIN = 3        # keywords are strictly longer than this
 GRAM = KEYWORD_MIN + 1
@@ -127,13 +127,23 @@ def section_context(sections: DataFrame, sources: DataFrame, relevance: DataFram
     characters, non-empty), else a fixed sentence.
 
     ``sources`` carry citation numbers dense per run in arrival order
-    (``step``, ``src``), as ``register_sources`` / ``number_within`` give.
+    (``step``, ``src``), as ``register_sources`` / ``number_within`` give;
+    without a ``citation_index`` column they are numbered here, on the key
+    columns only.
     """
-    s = sources.select(run, src, "step", "citation_index", "title", "content")
+    if "citation_index" in sources.columns:
+        numbers = sources.select(run, src, "step", "citation_index")
+    else:   # number on the narrow key columns only
+        numbers = number_within(sources.select(run, src, "step"), [run], ["step", src], "citation_index",
+                                block_of=src)
+    text = sources.select(run, src, "title", "content")
     order = [F.col("score").desc(), F.col("step"), F.col(src)]
-    ranked = (relevance.join(s, [run, src])
+    # rank on (score, arrival) with the narrow columns only; text is attached
+    # to the <= 10 survivors per section, not to every scored pair
+    ranked = (relevance.join(numbers, [run, src])
               .withColumn("_rk", F.row_number().over(Window.partitionBy(run, sec).orderBy(*order)))
               .where(F.col("_rk") <= TOP_SOURCES)
+              .join(text, [run, src])
               .withColumn("_snip", F.left("content", F.lit(SNIPPET)))
               .where(F.length("_snip") > 0))
     before = F.coalesce(F.sum(F.length("_snip")).over(
@@ -145,7 +155,7 @@ def section_context(sections: DataFrame, sources: DataFrame, relevance: DataFram
 
     # citation numbers are dense in arrival order, so the first five sources
     # of a run are simply numbers 1..5: a filter, no window
-    first = (s.where(F.col("citation_index") <= FALLBACK_SOURCES)
+    first = (numbers.where(F.col("citation_index") <= FALLBACK_SOURCES).join(text, [run, src])
              .withColumn("_k", F.col("citation_index"))
              .withColumn("_snip", F.left("content", F.lit(FALLBACK_SNIPPET)))
              .where(F.length("_snip") > 0)

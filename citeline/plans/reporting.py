@@ -117,8 +117,7 @@ FROM sec JOIN ctx ON ctx.sec_id = sec.item_id""")
 def section_drafts(spark, base):
     """SEC + A3 + C13: sections assembled in outline order, cut to the 8000
     characters handed to the synthesis prompt."""
-    secs, srcs = rs.corpus_sections(spark, base), rs.corpus_sources(spark, base)
-    rel = rv.section_relevance(secs, rs.corpus_sources(spark, base, numbered=False))
-    ctx = rv.section_context(secs, srcs, rel)
+    secs, srcs = rs.corpus_sections(spark, base), rs.corpus_sources(spark, base, numbered=False)
+    ctx = rv.section_context(secs, srcs, rv.section_relevance(secs, srcs))
     d = secs.join(ctx, ["research_id", "sec_id"])
     return rv.assemble_sections(d, "research_id", "sec_id", "title", "context", SECTIONS_MAX).drop("research_id")

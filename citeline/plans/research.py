@@ -87,6 +87,5 @@ SELECT sec.item_id AS sec_id, coalesce(sel.ctx, fb.ctx, {sq.lit(rv.NO_INFO)}) AS
 FROM sec LEFT JOIN sel ON sel.sec_id = sec.item_id LEFT JOIN fb ON fb.sec_id = sec.item_id""")
 def section_context(spark, base):
     """C5+B2+C6+A3: the evidence block handed to the section writer."""
-    secs, srcs = corpus_sections(spark, base), corpus_sources(spark, base)
-    rel = rv.section_relevance(secs, corpus_sources(spark, base, numbered=False))
-    return rv.section_context(secs, srcs, rel).drop("research_id")
+    secs, srcs = corpus_sections(spark, base), corpus_sources(spark, base, numbered=False)
+    return rv.section_context(secs, srcs, rv.section_relevance(secs, srcs)).drop("research_id")
