@@ -57,13 +57,24 @@ def section_keywords(sections: DataFrame, run: str, sec: str, title: str = "titl
             .groupBy(run, sec, step, "kw").agg(F.count(F.lit(1)).alias("mult")))
 
 
+SHORT_GRAMS = 20     # tokens up to 23 characters: grams from a fixed, code-generated array
+
+
+def _grams(token):
+    """All 4-grams of a token (position i holds the gram starting at i+1).
+    Ordinary tokens use a fixed array of substrings (compiled by whole-stage
+    codegen); longer ones fall back to a lambda over their positions."""
+    fixed = F.array(*[F.substring(token, i, GRAM) for i in range(1, SHORT_GRAMS + 1)])
+    long_ = F.transform(F.sequence(F.lit(1), F.length(token) - (GRAM - 1)), lambda i: F.substring(token, i, GRAM))
+    return F.when(F.length(token) <= SHORT_GRAMS + GRAM - 1, fixed).otherwise(long_)
+
+
 def _token_keywords(tokens: DataFrame, kws: DataFrame) -> DataFrame:
     """(…, token, kw) for every keyword inside a token: the token's 4-grams
     are equi-joined with the keywords' first four characters, then the whole
     keyword is compared at that position."""
-    grams = tokens.select("*", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.length("token") - (GRAM - 1)),
-        lambda i: F.substring(F.col("token"), i, GRAM))).alias("_i", "g"))
+    grams = (tokens.select("*", F.posexplode(_grams(F.col("token"))).alias("_i", "g"))
+             .where(F.length("g") == GRAM))
     return (grams.join(kws, "g")
             .where(F.substring(F.col("token"), F.col("_i") + 1, F.length("kw")) == F.col("kw"))
             .drop("g", "_i"))

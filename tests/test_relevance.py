@@ -97,3 +97,15 @@ def test_assemble_sections_prefix(spark):
     out = rv.assemble_sections(d, "research_id", "sec_id", "title", "body", 8000).first().sections_text
     full = "\n\n".join(f"## S{i}\n\n" + "b" * 100 for i in range(500))
     assert out == full[:8000]
+
+
+@pytest.mark.parametrize("strategy", ["direct", "vocabulary"])
+def test_keywords_inside_long_tokens(spark, strategy):
+    long_token = "x" * 25 + "OCEAN" + "y" * 40 + "heat"          # 74 characters, one token
+    src = spark.createDataFrame([("r", 1, 0, 1, "", "", long_token), ("r", 2, 0, 2, "", "", "oce an")],
+                                "research_id string, seq long, step long, citation_index long, title string, "
+                                "description string, content string")
+    sec = spark.createDataFrame([("r", 1, 0, "ocean heat yyyyyyyy xxxo")],
+                                "research_id string, sec_id long, step long, title string")
+    got = {r.seq: r.score for r in rv.section_relevance(sec, src, strategy=strategy).collect()}
+    assert got == {1: 4}
