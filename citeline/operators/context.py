@@ -63,17 +63,25 @@ def _head_blocks(blocks: DataFrame, run: str, ci: str, k: int) -> DataFrame:
 
 def format_results(results: DataFrame, group: list[str], order: list[str], title: str = "title",
                    url: str = "url", snippet: str = "snippet", shown: int = RESULTS_SHOWN,
-                   snippet_chars: int = RESULT_SNIPPET) -> DataFrame:
+                   snippet_chars: int = RESULT_SNIPPET, citation: str | None = None) -> DataFrame:
     """The first ``shown`` results of each group, numbered locally 1..n:
-    ``[i] title\\nURL: url\\nsnippet[:500]\\n`` joined by newlines."""
+    ``[i] title\\nURL: url\\nsnippet[:500]\\n`` joined by newlines.
+
+    The local ``[i]`` is not the report's citation number; with ``citation``
+    (the results' citation-number column) a ``citations`` array maps each
+    local number to it."""
     w = Window.partitionBy(*group).orderBy(*order)
     top = results.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= shown)
     part = F.concat(F.lit("["), F.col("_i").cast("string"), F.lit("] "), F.col(title), F.lit(NL + "URL: "),
                     F.col(url), F.lit(NL), F.left(F.coalesce(F.col(snippet), F.lit("")), F.lit(snippet_chars)),
                     F.lit(NL))
-    return top.groupBy(*group).agg(
-        F.array_join(ordered_values(F.collect_list(F.struct(F.col("_i"), part.alias("p"))), "p"), NL)
-        .alias("results_text"))
+    aggs = [F.array_join(ordered_values(F.collect_list(F.struct(F.col("_i"), part.alias("p"))), "p"), NL)
+            .alias("results_text")]
+    if citation:
+        aggs.append(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("local"),
+                                                         F.col(citation).alias("citation_index"))))
+                    .alias("citations"))
+    return top.groupBy(*group).agg(*aggs)
 
 
 # Fixed value: title prefix of a deep-dive section.

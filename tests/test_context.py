@@ -39,6 +39,14 @@ def test_format_results_local_numbers(spark):
     assert got.startswith("[1] T10\nURL: http://u/10\n" + "s" * 500 + "\n")
 
 
+def test_format_results_citation_map(spark):
+    rows = [("q", s, f"T{s}", f"http://u/{s}", "x", 100 + s) for s in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "research_id string, seq long, title string, url string, snippet string, "
+                                     "ci long")
+    got = format_results(df, ["research_id"], ["seq"], citation="ci").first().citations
+    assert [(c.local, c.citation_index) for c in got] == [(1, 101), (2, 102), (3, 103)]
+
+
 def test_deep_dive(spark):
     subs = spark.createDataFrame([("r", "- premier sous-theme long\n- x\n- second sous-theme long\n"
                                         "- troisieme sous-theme\n- quatrieme sous-theme")],
