@@ -24,31 +24,37 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def persona_items(text: Column, limit: int = PERSONAS) -> Column:
+def stripped_lines(text: Column) -> Column:
+    """Lines of a response, each stripped (shared by the list parsers)."""
+    return F.transform(_lines(text), tx.py_strip)
+
+
+def persona_items(text: Column, limit: int = PERSONAS, lines: Column | None = None) -> Column:
     """L2: numbered lines lose their ``N.`` prefix; lines over 10 characters
-    are kept (numbered or not); the first ``limit``; never empty."""
-    def one(line):
-        s = tx.py_strip(line)
+    are kept (numbered or not); the first ``limit``; never empty.
+    ``lines``: the already stripped lines, if computed once for several parsers."""
+    def one(s):
         numbered = s.rlike("^" + tx.DIGIT) & (F.instr(F.left(s, F.lit(3)), ".") > 0)
         return F.when(numbered, tx.py_strip(F.regexp_replace(s, "^[^.]*\\.", ""))).otherwise(s)
-    items = F.filter(F.transform(_lines(text), one), lambda s: F.length(s) > PERSONA_MIN)
-    items = F.slice(items, 1, limit)
+    src = lines if lines is not None else stripped_lines(text)
+    items = F.slice(F.filter(F.transform(src, one), lambda s: F.length(s) > PERSONA_MIN), 1, limit)
     return F.when(F.size(items) == 0, F.array(F.lit(DEFAULT_PERSONA))).otherwise(items)
 
 
-def dash_items(text: Column, min_len: int, limit: int) -> Column:
+def dash_items(text: Column, min_len: int, limit: int, lines: Column | None = None) -> Column:
     """L3/L4: strip, drop a leading run of '-' and ' ', strip; keep lines
     longer than ``min_len``; the first ``limit``."""
-    items = F.transform(_lines(text), lambda line: tx.py_strip(F.regexp_replace(tx.py_strip(line), "^[- ]+", "")))
+    src = lines if lines is not None else stripped_lines(text)
+    items = F.transform(src, lambda s: tx.py_strip(F.regexp_replace(s, "^[- ]+", "")))
     return F.slice(F.filter(items, lambda s: F.length(s) > min_len), 1, limit)
 
 
-def query_items(text: Column) -> Column:
-    return dash_items(text, QUERY_MIN, QUERIES)
+def query_items(text: Column, lines: Column | None = None) -> Column:
+    return dash_items(text, QUERY_MIN, QUERIES, lines)
 
 
-def subtopic_items(text: Column) -> Column:
-    return dash_items(text, SUBTOPIC_MIN, SUBTOPICS)
+def subtopic_items(text: Column, lines: Column | None = None) -> Column:
+    return dash_items(text, SUBTOPIC_MIN, SUBTOPICS, lines)
 
 
 def outline_sections(df: DataFrame, keys: list[str], text: str) -> DataFrame:

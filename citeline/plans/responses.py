@@ -49,11 +49,13 @@ UNION ALL {_kind_sql('subtopic', _DASH, ps.SUBTOPIC_MIN, ps.SUBTOPICS)}"""
 def list_items(spark, base):
     """L2-L4: persona, query and sub-topic lists parsed from every document."""
     d = spread(read_table(spark, base, "documents", "doc_id", "text"))
-    t = F.col("text")
+    # strip every line once; the three parsers read the stripped lines
+    d = d.select("doc_id", "text", ps.stripped_lines(F.col("text")).alias("lines"))
+    t, lines = F.col("text"), F.col("lines")
     kinds = F.array(
-        F.struct(F.lit("persona").alias("kind"), ps.persona_items(t).alias("items")),
-        F.struct(F.lit("query").alias("kind"), ps.query_items(t).alias("items")),
-        F.struct(F.lit("subtopic").alias("kind"), ps.subtopic_items(t).alias("items")))
+        F.struct(F.lit("persona").alias("kind"), ps.persona_items(t, lines=lines).alias("items")),
+        F.struct(F.lit("query").alias("kind"), ps.query_items(t, lines).alias("items")),
+        F.struct(F.lit("subtopic").alias("kind"), ps.subtopic_items(t, lines).alias("items")))
     return (d.select("doc_id", F.explode(kinds).alias("k"))
             .select("doc_id", "k.kind", F.posexplode("k.items").alias("pos", "item"))
             .withColumn("pos", F.col("pos").cast("long")))

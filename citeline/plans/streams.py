@@ -33,7 +33,9 @@ SELECT page_id, url, {sq.title('html')} AS title, {sq.description('html')} AS de
 FROM pages""")
 def page_ingest_stream(spark, base):
     """ST3: pages arriving as files are extracted incrementally."""
-    out = run_to_table(ingest_pages(page_stream(spark, base, "pages.parquet"), SOURCE_CONTENT_MAX),
+    # the driver tables are one row group per file: spread each batch over the task slots
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = run_to_table(ingest_pages(page_stream(spark, base, "pages.parquet", spread_to=slots), SOURCE_CONTENT_MAX),
                        f"ingest-{uuid.uuid4().hex}")
     return out.select("page_id", "url", "title", "description", "publish_date", "content")
 

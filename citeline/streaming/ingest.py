@@ -24,12 +24,17 @@ def first_seen_stream(requests: DataFrame, keys: list[str], ts: str | None = Non
 
 
 def page_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
-                max_files: int | None = None) -> DataFrame:
-    """S1 on a stream: pages arriving as parquet files in ``directory``."""
+                max_files: int | None = None, spread_to: int | None = None) -> DataFrame:
+    """S1 on a stream: pages arriving as parquet files in ``directory``.
+
+    ``spread_to`` redistributes each micro-batch round robin before the
+    CPU-bound extraction; use it when batches consist of a few large files
+    (one parquet row group is one task), leave it off when they span many."""
     r = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(directory)
+    df = r.parquet(directory)
+    return df.repartition(spread_to) if spread_to else df
 
 
 def ingest_pages(pages: DataFrame, max_chars: int = 5000) -> DataFrame:
