@@ -57,24 +57,29 @@ def section_keywords(sections: DataFrame, run: str, sec: str, title: str = "titl
             .groupBy(run, sec, step, "kw").agg(F.count(F.lit(1)).alias("mult")))
 
 
-SHORT_GRAMS = 20     # tokens up to 23 characters: grams from a fixed, code-generated array
+CHUNK = 20      # grams are produced 20 start positions at a time
 
 
-def _grams(token):
-    """All 4-grams of a token (position i holds the gram starting at i+1).
-    Ordinary tokens use a fixed array of substrings (compiled by whole-stage
-    codegen); longer ones fall back to a lambda over their positions."""
-    fixed = F.array(*[F.substring(token, i, GRAM) for i in range(1, SHORT_GRAMS + 1)])
-    long_ = F.transform(F.sequence(F.lit(1), F.length(token) - (GRAM - 1)), lambda i: F.substring(token, i, GRAM))
-    return F.when(F.length(token) <= SHORT_GRAMS + GRAM - 1, fixed).otherwise(long_)
+def _token_grams(tokens: DataFrame) -> DataFrame:
+    """Every 4-gram of every token with its 0-based start ``_i``.
+
+    A token is cut into chunks of 20 start positions (``sequence`` of chunk
+    offsets), and each chunk yields a fixed array of 20 substrings; grams
+    running past the end are dropped.  No lambda is involved, so the whole
+    generation stays in whole-stage code generation, for tokens of any length."""
+    tok = F.col("token")
+    offs = tokens.select("*", F.explode(F.sequence(F.lit(0), F.length(tok) - GRAM, F.lit(CHUNK))).alias("_o"))
+    chunk = F.array(*[tok.substr(F.col("_o") + F.lit(i), F.lit(GRAM)) for i in range(1, CHUNK + 1)])
+    return (offs.select("*", F.posexplode(chunk).alias("_j", "g"))
+            .where(F.length("g") == GRAM)
+            .withColumn("_i", F.col("_o") + F.col("_j")).drop("_o", "_j"))
 
 
 def _token_keywords(tokens: DataFrame, kws: DataFrame) -> DataFrame:
     """(…, token, kw) for every keyword inside a token: the token's 4-grams
     are equi-joined with the keywords' first four characters, then the whole
     keyword is compared at that position."""
-    grams = (tokens.select("*", F.posexplode(_grams(F.col("token"))).alias("_i", "g"))
-             .where(F.length("g") == GRAM))
+    grams = _token_grams(tokens)
     return (grams.join(kws, "g")
             .where(F.substring(F.col("token"), F.col("_i") + 1, F.length("kw")) == F.col("kw"))
             .drop("g", "_i"))
