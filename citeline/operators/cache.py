@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TTL_HOURS = 6
@@ -61,39 +61,89 @@ def from_micros(a: np.ndarray) -> pd.Series:
     return pd.Series(np.where(a == NO_ANCHOR, np.datetime64("NaT"), a.astype("datetime64[us]")))
 
 
-def _ttl_batches(batches: Iterator[pd.DataFrame], key: str, ts: str, ok: str, ttl_us: int):
+def _ttl_batches(batches: Iterator[pd.DataFrame], keys: list[str], ts: str, ok: str, ttl_us: int):
     cur_key, anchor = None, None          # carried across batches of one partition
     for pdf in batches:
         if pdf.empty:
             continue
-        keys = pdf[key].to_numpy()
+        cols = [pdf[k].to_numpy() for k in keys]
         t = to_micros(pdf[ts])
         good = pdf[ok].to_numpy().astype(bool)
         hit = np.zeros(len(pdf), dtype=bool)
         anchor_out = np.full(len(pdf), NO_ANCHOR, dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        change = np.zeros(len(pdf), dtype=bool)
+        change[0] = True
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change)
         ends = np.r_[starts[1:], len(pdf)]
         for s, e in zip(starts, ends):
-            a0 = anchor if keys[s] == cur_key else None
+            group = tuple(c[s] for c in cols)
+            a0 = anchor if group == cur_key else None
             hit[s:e], anchor_out[s:e], a = fold_key(t[s:e], good[s:e], a0, ttl_us)
-            cur_key, anchor = keys[s], a
+            cur_key, anchor = group, a
         out = pdf.copy()
         out["hit"] = hit
         out["anchor"] = from_micros(anchor_out).to_numpy()
         yield out
 
 
+def _micros(ts: str):
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+
+
+def gap_segments(df: DataFrame, key: str, ts: str, req_id: str, ttl_us: int,
+                 bucket_us: int = 86_400_000_000) -> DataFrame:
+    """Add ``_seg``: the start time (µs) of the request's gap-free segment.
+
+    A request at least one TTL after the key's previous request meets an
+    expired (or no) anchor — exactly the state of a fresh key — so it starts
+    an independent segment.  Found without a per-key window: requests are
+    windowed per (key, time bucket); per-bucket first/last times and last
+    in-bucket segment start are aggregated; a window over each key's (few)
+    buckets carries the previous bucket's last time and segment start."""
+    us, b = "_us", "_b"
+    d = df.withColumn(us, _micros(ts)).withColumn(b, F.floor(F.col(us) / F.lit(bucket_us)))
+    w = Window.partitionBy(key, b).orderBy(us, req_id)
+    prev = F.lag(us).over(w)
+    d = d.withColumn("_gap", prev.isNotNull() & (F.col(us) - prev >= ttl_us))
+    d = d.withColumn("_seg_in", F.max(F.when(F.col("_gap"), F.col(us))).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stats = d.groupBy(key, b).agg(F.min(us).alias("_first"), F.max(us).alias("_last"),
+                                  F.max(F.when(F.col("_gap"), F.col(us))).alias("_gs"))
+    wb = Window.partitionBy(key).orderBy(b)
+    prev_last = F.lag("_last").over(wb)
+    stats = stats.withColumn("_gap_first", prev_last.isNull() | (F.col("_first") - prev_last >= ttl_us))
+    stats = stats.withColumn("_bucket_gs", F.coalesce("_gs", F.when(F.col("_gap_first"), F.col("_first"))))
+    stats = stats.withColumn("_carried", F.max("_bucket_gs").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(stats.select(key, b, "_first", "_gap_first", "_carried"), [key, b])
+    seg = F.coalesce("_seg_in", F.when(F.col("_gap_first"), F.col("_first")), "_carried")
+    return d.withColumn("_seg", seg).drop(us, b, "_gap", "_seg_in", "_first", "_gap_first", "_carried")
+
+
 def ttl_hits(requests: DataFrame, key: str, ts: str, req_id: str, ok: str | None = None,
-             ttl_hours: float = TTL_HOURS, partitions: int | None = None) -> DataFrame:
-    """S3: every request with ``hit`` and the ``anchor`` (last write) it saw."""
+             ttl_hours: float = TTL_HOURS, partitions: int | None = None,
+             split_at_gaps: bool = True) -> DataFrame:
+    """S3: every request with ``hit`` and the ``anchor`` (last write) it saw.
+
+    With ``split_at_gaps`` a key is folded per gap-free segment (see
+    ``gap_segments``), so a hot key spreads over as many tasks as it has
+    TTL-long pauses; only one gap-free stretch is folded by one task."""
     df = requests if ok else requests.withColumn("_ok", F.lit(True))
     okc = ok or "_ok"
+    ttl_us = int(ttl_hours * 3600 * 1_000_000)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartition(n, key).sortWithinPartitions(key, ts, req_id)
     ts_type = dict(df.dtypes)[ts]
     schema = df.schema.simpleString()[len("struct<"):-1] + f",hit:boolean,anchor:{ts_type}"
-    ttl_us = int(ttl_hours * 3600 * 1_000_000)
-    out = ordered.mapInPandas(lambda it: _ttl_batches(it, key, ts, okc, ttl_us), schema)
+    groups = [key]
+    if split_at_gaps:
+        df = gap_segments(df, key, ts, req_id, ttl_us)
+        groups = [key, "_seg"]
+        schema = df.schema.simpleString()[len("struct<"):-1] + f",hit:boolean,anchor:{ts_type}"
+    ordered = df.repartition(n, *groups).sortWithinPartitions(*groups, ts, req_id)
+    out = ordered.mapInPandas(lambda it: _ttl_batches(it, groups, ts, okc, ttl_us), schema)
+    if split_at_gaps:
+        out = out.drop("_seg")
     return out.drop("_ok") if not ok else out
 
 

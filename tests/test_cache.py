@@ -74,3 +74,27 @@ def test_latest_per_key(spark):
                                ("j", T0, 5, "only")], "key string, ts timestamp_ntz, seq long, content string")
     got = {r.key: r.content for r in ch.latest_per_key(w, "key", ["ts", "seq"]).collect()}
     assert got == {"k": "new", "j": "only"}
+
+
+def test_hot_key_split_at_gaps(spark):
+    rows, t = [], T0
+    for i in range(3000):
+        t += (7 * H if i % 97 == 0 else 13 * 60 * S)         # a 7 h pause every 97 requests
+        rows.append(("hot", t, i, i % 17 != 0))
+    rows += [("cold", T0 + i * 5 * H, 10_000 + i, True) for i in range(40)]
+    df = log(spark, rows)
+    split = hits(ch.ttl_hits(df, "key", "ts", "rid", ok="ok", split_at_gaps=True))
+    whole = hits(ch.ttl_hits(df, "key", "ts", "rid", ok="ok", split_at_gaps=False))
+    assert split == whole
+    segs = ch.gap_segments(df, "key", "ts", "rid", 6 * 3600 * 1_000_000)
+    assert segs.where("key = 'hot'").select("_seg").distinct().count() == 31   # 3000 / 97 pauses, rounded up
+    anchor, want = {}, {}
+    for k, ts, i, ok in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        a = anchor.get(k)
+        if a is not None and ts - a < 6 * H:
+            want[i] = True
+            continue
+        want[i] = False
+        if ok:
+            anchor[k] = ts
+    assert split == want
