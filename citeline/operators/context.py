@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.arrays import budget_exclude, ordered_values
-from citeline.operators.ordering import first_n
+from citeline.operators.ordering import first_n, number_within
 
 COMPRESS_MAX = 8000
 COMPRESS_SNIPPET = 1500
@@ -28,7 +28,8 @@ def source_block(ci: str, title: str, snippet) -> "F.Column":
 
 def compress_context(sources: DataFrame, run: str = "research_id", ci: str = "citation_index",
                      title: str = "title", content: str = "content",
-                     max_chars: int = COMPRESS_MAX, snippet_chars: int = COMPRESS_SNIPPET) -> DataFrame:
+                     max_chars: int = COMPRESS_MAX, snippet_chars: int = COMPRESS_SNIPPET,
+                     key: str = "seq") -> DataFrame:
     """One context string per run.
 
     Blocks of sources with non-empty content are concatenated in citation
@@ -38,15 +39,27 @@ def compress_context(sources: DataFrame, run: str = "research_id", ci: str = "ci
 
     Every block starts with a line ``[n] ...`` of at least four characters,
     so no line past block ``max_chars // 4 + 1`` can survive the cut: only
-    those blocks are gathered per run, while the total length comes from a
-    partial aggregation over all blocks.
+    those blocks are gathered per run.  Numbering, the total length and the
+    choice of head blocks use lengths only; text is joined to the head
+    blocks.  Sources without ``ci`` are numbered here by ``key``.
     """
+    if key not in sources.columns:      # numbered sources: the number is the key
+        key = ci
+    ids = [run] + list(dict.fromkeys([key] + ([ci] if ci in sources.columns else [])))
+    lens = sources.select(*ids, F.length(title).alias("_tl"),
+                          F.least(F.length(content), F.lit(snippet_chars)).alias("_sl"))
+    if ci not in sources.columns:
+        lens = number_within(lens, [run], [key], ci, block_of=key)
+    present = lens.where(F.col("_sl") > 0)
+    block_len = (F.length(F.col(ci).cast("string")) + F.lit(3) + F.col("_tl") + F.lit(1) + F.col("_sl")
+                 + F.lit(2))
+    totals = present.groupBy(run).agg(F.sum(block_len).alias("total_chars"))
+    head = _head_blocks(present.select(*dict.fromkeys([run, key, ci])), run, ci, max_chars // 4 + 1)
     snippet = F.left(F.col(content), F.lit(snippet_chars))
-    blocks = (sources.where(F.length(F.col(content)) > 0)
+    text = sources.select(*dict.fromkeys([run, key, title, content]))
+    blocks = (head.join(text, [run, key])
               .select(run, ci, source_block(ci, title, snippet).alias("block")))
-    totals = blocks.groupBy(run).agg(F.sum(F.length("block")).alias("total_chars"))
-    head = _head_blocks(blocks, run, ci, max_chars // 4 + 1)
-    gathered = head.groupBy(run).agg(
+    gathered = blocks.groupBy(run).agg(
         F.array_join(ordered_values(F.collect_list(F.struct(F.col(ci), F.col("block"))), "block"), "")
         .alias("text"))
     lines = F.split(F.col("text"), NL, -1)

@@ -31,12 +31,12 @@ def doc_title(text: str = "text"):
     return F.when(t == "", F.lit(tx.UNTITLED)).otherwise(t)
 
 
-def doc_sources(spark, base):
-    """Documents as numbered sources: (research_id, seq, citation_index, title, description, content)."""
+def doc_sources(spark, base, numbered: bool = True):
+    """Documents as sources: (research_id, seq, [citation_index,] title, description, content)."""
     d = load_docs(spark, base, "doc_id", "source", "text")
     d = d.select(F.col("source").alias("research_id"), F.col("doc_id").alias("seq"),
                  doc_title().alias("title"), F.lit("").alias("description"), F.col("text").alias("content"))
-    return number_within(d, ["research_id"], ["seq"], "citation_index", block_of="seq")
+    return number_within(d, ["research_id"], ["seq"], "citation_index", block_of="seq") if numbered else d
 
 
 SQL_DOC_TITLE = (f"(CASE WHEN left({sq.strip('split_part(text, chr(10), 1)')}, 300) = '' THEN 'Untitled'"
@@ -103,4 +103,4 @@ SELECT c.research_id, coalesce(k.context, '') FROM ctx c LEFT JOIN cut k USING (
 WHERE length(c.text) > 8000""")
 def context_compress(spark, base):
     """Compressed context of every run's sources."""
-    return compress_context(doc_sources(spark, base))
+    return compress_context(doc_sources(spark, base, numbered=False))
