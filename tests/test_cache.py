@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from citeline.operators import cache as ch
 from citeline.streaming.ingest import run_to_table
@@ -98,3 +99,17 @@ def test_hot_key_split_at_gaps(spark):
         if ok:
             anchor[k] = ts
     assert split == want
+
+
+def test_stream_with_watermark_expiry_equals_batch(spark):
+    rows = [(f"u{i % 5}", T0 + i * 53 * 60 * S, i, i % 13 != 0) for i in range(450)]
+    d = tempfile.mkdtemp(prefix="ttl-wm-", dir="/tmp")
+    pdf = pd.DataFrame(rows, columns=["key", "ts", "rid", "ok"])
+    for n, part in enumerate([pdf.iloc[:150], pdf.iloc[150:300], pdf.iloc[300:]]):
+        part.to_parquet(os.path.join(d, f"part{n}.parquet"), index=False, coerce_timestamps="us")
+    src = (spark.readStream.schema("key string, ts timestamp_ntz, rid long, ok boolean")
+           .option("maxFilesPerTrigger", 1).parquet(d)
+           .withColumn("ts", F.col("ts").cast("timestamp")))      # event time for the watermark
+    out = run_to_table(ttl_stream(src, "key", "ts", "rid", "ok", watermark="1 hour"),
+                       "test-ttl-wm-" + os.path.basename(d))
+    assert hits(out) == hits(ch.ttl_hits(log(spark, rows), "key", "ts", "rid", ok="ok"))
