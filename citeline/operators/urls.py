@@ -53,3 +53,25 @@ def extract_links(df: DataFrame, html: str, keys: list[str], n: int = RESULTS,
            .select(*keys, F.col("pos").cast("long").alias("pos"), "l.url", "l.title",
                    (F.col("l.url").startswith("http")).alias("is_http")))
     return out.where(F.col("is_http")) if require_http else out
+
+
+SEARCHED_QUERIES = 2      # only the first two queries of a turn are searched
+
+
+def plan_requests(responses: DataFrame, run: str = "research_id", step: str = "step",
+                  turn: str = "turn_no", query_no: str = "query_no", text: str = "text",
+                  cap: int = 3, searched: int = SEARCHED_QUERIES) -> DataFrame:
+    """SO1 + U2: URL requests in arrival order from search responses.
+
+    ``responses``: one row per query (run, step, turn, query number from 0,
+    response text).  Queries past the first ``searched`` of a turn are not
+    searched; each response contributes its first ``cap`` URLs (the cap comes
+    before any dedup).  ``seq`` = (turn * searched + query) * cap + position
+    is exact and increasing because query < searched and position < cap —
+    a narrow projection plus ``posexplode``.
+    """
+    kept = responses.where(F.col(query_no) < searched)
+    urls = kept.select(run, step, turn, query_no,
+                       F.posexplode(extract_urls(F.col(text), cap)).alias("_pos", "url"))
+    seq = (F.col(turn).cast("long") * searched + F.col(query_no)) * cap + F.col("_pos")
+    return urls.select(run, step, seq.alias("seq"), "url")

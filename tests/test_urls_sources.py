@@ -69,3 +69,18 @@ def test_number_within_blocks_equal_window(spark):
     assert sorted(a.collect()) == sorted(b.collect())
     plan = a._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_plan_requests_then_registry(spark):
+    resp = spark.createDataFrame([
+        ("r", 0, 1, 0, "- http://b\n- http://missing\n- http://a\n- http://c"),   # 4 URLs: cap 3
+        ("r", 0, 1, 1, "- http://c"),
+        ("r", 0, 1, 2, "- http://never"),                                           # third query: not searched
+        ("r", 1, 1, 0, "- http://b  - http://a."),                                  # section search: duplicates
+    ], "research_id string, step int, turn_no int, query_no int, text string")
+    req = ur.plan_requests(resp)
+    assert [r.url for r in req.orderBy("step", "seq").collect()] == [
+        "http://b", "http://missing", "http://a", "http://c", "http://b", "http://a"]
+    corpus = spark.createDataFrame(CORPUS, "url string, html string")
+    reg = so.register_sources(req, corpus).orderBy("citation_index").collect()
+    assert [(r.citation_index, r.url) for r in reg] == [(1, "http://b"), (2, "http://a"), (3, "http://c")]
