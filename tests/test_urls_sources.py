@@ -84,3 +84,22 @@ def test_plan_requests_then_registry(spark):
     corpus = spark.createDataFrame(CORPUS, "url string, html string")
     reg = so.register_sources(req, corpus).orderBy("citation_index").collect()
     assert [(r.citation_index, r.url) for r in reg] == [(1, "http://b"), (2, "http://a"), (3, "http://c")]
+
+
+def test_first_n_above_group_limit_threshold(spark):
+    from citeline.operators.ordering import GROUP_LIMIT_MAX, first_n
+    n = GROUP_LIMIT_MAX + 200
+    df = spark.createDataFrame([("a", i) for i in range(3000)] + [("b", i) for i in range(10)],
+                               "k string, seq long")
+    got = first_n(df, ["k"], ["seq"], n, block_of="seq")
+    counts = {r.k: r["count"] for r in got.groupBy("k").count().collect()}
+    assert counts == {"a": n, "b": 10}
+    assert got.where("k = 'a'").agg(F.max("seq")).first()[0] == n - 1
+
+
+def test_spread_only_when_few_splits(spark):
+    from citeline.sources.tables import spread
+    one = spark.range(100).coalesce(1)
+    many = spark.range(100).repartition(16)
+    assert spread(one).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread(many).rdd.getNumPartitions() == 16
