@@ -113,3 +113,31 @@ def test_stream_with_watermark_expiry_equals_batch(spark):
     out = run_to_table(ttl_stream(src, "key", "ts", "rid", "ok", watermark="1 hour"),
                        "test-ttl-wm-" + os.path.basename(d))
     assert hits(out) == hits(ch.ttl_hits(log(spark, rows), "key", "ts", "rid", ok="ok"))
+
+
+def brute(rows):
+    anchor, want = {}, {}
+    for k, ts, i, ok in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        a = anchor.get(k)
+        if a is not None and ts - a < 6 * H:
+            want[i] = True
+            continue
+        want[i] = False
+        if ok:
+            anchor[k] = ts
+    return want
+
+
+def test_bucketed_ttl_matches_brute_force(spark):
+    rows = [("k", T0, 1, True), ("k", T0 + 6 * H - S, 2, True), ("k", T0 + 6 * H, 3, True),
+            ("k", T0 + 11 * H, 4, True), ("k", T0 + 12 * H - S, 5, True), ("k", T0 + 12 * H, 6, True),
+            ("j", T0, 7, False), ("j", T0 + S, 8, True), ("j", T0 + 2 * S, 9, True)]
+    rows += [("hot", T0 + i * 7 * 60 * S, 100 + i, i % 13 != 0) for i in range(2000)]
+    rows += [("every3h", T0 + i * 3 * H, 5000 + i, True) for i in range(60)]           # interleaved chains
+    rows += [("fails", T0 + i * 20 * 60 * S, 6000 + i, i % 40 > 25) for i in range(300)]  # failure runs
+    t = T0
+    for i in range(1500):
+        t += 7 * H if i % 97 == 0 else 13 * 60 * S
+        rows.append(("gappy", t, 9000 + i, i % 17 != 0))
+    got = hits(ch.ttl_hits_bucketed(log(spark, rows), "key", "ts", "rid", "ok"))
+    assert got == brute(rows)
