@@ -29,6 +29,8 @@ from citeline.llm.tokens import shingles, words_of_texts
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 256
 FRAGMENTS = 4          # of the rare and of the frequent grams each
+RARE = 1 << 58         # grams below are of class 0
+FIRST = RARE // FRAGMENTS  # and below this in the first fragment
 LOCAL_HOT = 16         # postings of one gram that a task may pass on per batch
 
 
@@ -96,7 +98,7 @@ def gram_classes(docs: DataFrame, n: int = 5, bits: int = SKETCH_BITS) -> np.nda
 
 def _ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Grams as non-negative longs whose numeric order is the global order."""
-    kept = grams & np.uint64((1 << 58) - 1)
+    kept = grams & np.uint64(RARE - 1)
     cls = classes[(grams & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64)
     return np.sort((cls << np.uint64(58)) | kept).astype(np.int64)
 
@@ -104,8 +106,7 @@ def _ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
 def _fragment(tokens: np.ndarray) -> np.ndarray:
     """Fragment of each ordered gram: pivots cut the rare grams (class 0) and
     the frequent ones into ``FRAGMENTS`` hash ranges each."""
-    step = (1 << 58) // FRAGMENTS
-    return np.where(tokens < 1 << 58, 0, FRAGMENTS) + (tokens & ((1 << 58) - 1)) // step
+    return np.where(tokens < RARE, 0, FRAGMENTS) + (tokens & (RARE - 1)) // FIRST
 
 
 def _prefix(size, percent: int):
@@ -113,7 +114,7 @@ def _prefix(size, percent: int):
     return size - (size * percent + 99) // 100 + 1
 
 
-POSTINGS = "token long, pn long, doc_id long, hub long, fits boolean"
+POSTINGS = "token long, pn long, doc_id long, hub long, hub_size long"
 
 
 def _first_of_runs(keys: np.ndarray) -> np.ndarray:
@@ -122,27 +123,32 @@ def _first_of_runs(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
-def _fits(n1, n2, percent: int):
-    return 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-
-
 def _postings(shared, n: int, percent: int):
-    """Rows of three kinds: postings (``hub`` null) for the prefix grams,
-    postings already compared with a central one of the same batch (only for
-    grams with more than ``LOCAL_HOT`` there: the map-side combine of hot
-    grams), and one row per document (``token`` null, ``pn`` its set size)."""
+    """Rows of three kinds: postings (``hub`` null) with ``pn`` = position and
+    set size, for the grams of the prefix, of the whole first fragment, and all
+    rare ones of a set that consists mainly of frequent ones;
+    postings that already have a central document of the same batch as ``hub``
+    (only for grams with more than ``LOCAL_HOT`` there: the map-side combine of
+    hot grams; their ``hub_size`` is negative); and one row per document (``token`` null, ``pn`` its set size,
+    ``hub_size`` its grams in the first fragment and ``hub``, if all its rare
+    grams are posted, their number)."""
     def emit(batches: Iterator[pa.RecordBatch]):
         classes = np.frombuffer(shared.value, np.uint8)
 
         def flush(ids, sets):
             sizes = np.array([len(s) for s in sets], np.int64)
+            sets = [_ordered(s, classes) for s in sets]
+            first = np.array([np.searchsorted(s, FIRST) for s in sets], np.int64)
+            rare = np.array([np.searchsorted(s, RARE) for s in sets], np.int64)
+            posted = np.maximum(first, _prefix(sizes, percent))
+            posted = np.where(2 * rare <= sizes, np.maximum(posted, rare), posted)
             docs = pa.RecordBatch.from_arrays(
-                [pa.nulls(len(ids), pa.int64()), pa.array(sizes), ids, pa.nulls(len(ids), pa.int64()),
-                 pa.nulls(len(ids), pa.bool_())], names)
+                [pa.nulls(len(ids), pa.int64()), pa.array(sizes), ids, pa.array(rare, mask=posted < rare),
+                 pa.array(first)], names)
             known = np.flatnonzero(np.asarray(ids.is_valid()) & (sizes > 0))
             if not len(known):
                 return [docs]
-            heads = [_ordered(sets[k], classes)[:_prefix(int(sizes[k]), percent)] for k in known]
+            heads = [sets[k][:posted[k]] for k in known]
             lengths = np.array([len(h) for h in heads])
             token = np.concatenate(heads)
             doc = np.repeat(np.asarray(ids.take(pa.array(known)).to_numpy(zero_copy_only=False), np.int64), lengths)
@@ -153,13 +159,15 @@ def _postings(shared, n: int, percent: int):
             token, doc, pn, size = token[order], doc[order], pn[order], size[order]
             lead = _first_of_runs(token)
             hot = (np.arange(len(token)) - lead) >= LOCAL_HOT
-            hub = np.where(hot, doc[lead], 0)
-            fits = _fits(size, size[lead], percent)
+            own = np.unique(lead[hot])          # local hubs: a posting, and a row of their own
+            pick = np.concatenate([np.arange(len(token)), own])
+            done = np.concatenate([hot, np.ones(len(own), bool)])
+            token, pn, doc, hub, hub_size = (x[pick] for x in (token, pn, doc, doc[lead], size[lead]))
             return [docs, pa.RecordBatch.from_arrays(
-                [pa.array(token), pa.array(pn), pa.array(doc), pa.array(hub, mask=~hot), pa.array(fits, mask=~hot)],
-                names)]
+                [pa.array(token), pa.array(pn), pa.array(doc), pa.array(hub, mask=~done),
+                 pa.array(-hub_size, mask=~done)], names)]
 
-        names = ["token", "pn", "doc_id", "hub", "fits"]
+        names = ["token", "pn", "doc_id", "hub", "hub_size"]
         ids, sets, held, current = [], [], 0, None
         for batch, i, more in _sets(batches, n):
             ids.append(batch.column("doc_id").slice(i, len(more)))
@@ -173,20 +181,14 @@ def _postings(shared, n: int, percent: int):
     return emit
 
 
-def _stars(percent: int):
+def _stars():
     """Sorted postings -> live postings: each one of a gram that occurs more
     than once, with the gram's central document as ``hub`` (the hub's own row
     included); rows that carry a hub and document rows pass through.  State: the
     current gram's first row."""
     def star(batches: Iterator[pa.RecordBatch]):
         held = None  # (token, pn, doc) of the first row of the last gram seen, and whether it was emitted
-        names = ["token", "pn", "doc_id", "hub", "fits"]
-
-        def rows(token, pn, doc, hub, hub_n):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(token), pa.array(pn), pa.array(doc), pa.array(hub),
-                 pa.array(_fits(pn & 0xFFFFFFFF, hub_n, percent))], names)
-
+        names = ["token", "pn", "doc_id", "hub", "hub_size"]
         for batch in batches:
             plain = np.asarray(batch.column(0).is_valid()) & np.asarray(batch.column(3).is_null())
             if not plain.all():
@@ -206,7 +208,8 @@ def _stars(percent: int):
                 has[0] = False                      # the hub's own row was emitted with an earlier batch
             keep = follower | has
             if keep.any():
-                yield rows(token[keep], pn[keep], doc[keep], doc[lead][keep], (pn[lead] & 0xFFFFFFFF)[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[keep]) for x in (token, pn, doc, doc[lead], pn[lead] & 0xFFFFFFFF)], names)
             last = lead[-1]
             shown = bool(follower[last + 1:].any()) or (carried and last == 0 and shown)
             held = (token[last], pn[last], doc[last])
@@ -214,68 +217,161 @@ def _stars(percent: int):
 
 
 def _segments(shared, n: int):
+    """``(doc_id, version, fragment, size, grams)``: the sorted set of each text
+    cut at the fragments.  ``version`` tells rows that share an id apart."""
     def emit(batches: Iterator[pa.RecordBatch]):
         classes = np.frombuffer(shared.value, np.uint8)
         for batch, i, sets in _sets(batches, n):
             ids = batch.column("doc_id").to_pylist()[i:i + len(sets)]
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for doc, grams in zip(ids, sets):
                 tokens = _ordered(grams, classes)
                 part = _fragment(tokens)
-                edges = np.flatnonzero(np.diff(part)) + 1
-                for segment in np.split(tokens, edges) if len(tokens) else []:
-                    for value, x in zip(out, (doc, int(_fragment(segment[:1])[0]), len(tokens), segment)):
+                order = np.argsort(part, kind="stable")
+                tokens, part = tokens[order], part[order]
+                version = int(tokens.sum())
+                for segment in np.split(tokens, np.flatnonzero(np.diff(part)) + 1) if len(tokens) else []:
+                    for value, x in zip(out, (doc, version, int(_fragment(segment[:1])[0]), len(tokens), segment)):
                         value.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()),
-                     pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "fragment", "size", "grams"])
+                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                     pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64()))],
+                    ["doc_id", "version", "fragment", "size", "grams"])
     return emit
 
 
+def _need(n1, n2, percent: int):
+    """Least overlap of two linked sets of these sizes."""
+    return F.ceil(percent / F.lit(100.0 + percent) * (n1 + n2) - F.lit(1e-6))
+
+
+def _fits(n1, n2, percent: int):
+    return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+
+
 def _count_pairs(docs: DataFrame, pairs: DataFrame, shared, n: int, percent: int) -> DataFrame:
-    """``pairs(a, b)`` -> ``(a, b, size_a, size_b, overlap, linked)``: partial
-    overlaps per fragment, summed.  Pairs without a common gram are left out."""
+    """``pairs(a, b)`` -> ``(a, b, parts, linked, versions)``: partial overlaps
+    per fragment, and whether their sum makes a link.  ``versions`` is above 1
+    where rows with different texts share an id.  Pairs without a common gram
+    are left out."""
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     wanted = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    parts = wanted.mapInArrow(_segments(shared, n), "doc_id long, fragment int, size long, grams array<long>")
+    parts = wanted.mapInArrow(_segments(shared, n), "doc_id long, version long, fragment int, size long, grams array<long>")
     cut = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(2 * FRAGMENTS - 1))).alias("fragment"))
-    side = {s: parts.select(F.col("doc_id").alias(s), "fragment", F.col("size").alias(f"size_{s}"),
-                            F.col("grams").alias(f"grams_{s}")) for s in "ab"}
+    side = {s: parts.select(F.col("doc_id").alias(s), F.col("version").alias(f"version_{s}"), "fragment",
+                            F.col("size").alias(f"size_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab"}
     both = cut.join(side["b"], ["b", "fragment"]).join(side["a"], ["a", "fragment"])
-    counted = (both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
-               .groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"),
-                                      F.sum("common").alias("overlap")))
-    union = F.col("size_a") + F.col("size_b") - F.col("overlap")
-    return materialize(counted.withColumn("linked", 100 * F.col("overlap") >= percent * union), "overlaps")
+    key = ["a", "b", "version_a", "version_b", "size_a", "size_b"]
+    partial = (both.select(*key, "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
+               .groupBy(*key, "fragment").agg(F.max("common").alias("common")))  # repeated rows count once
+    parts = F.array(*(F.coalesce(F.sum(F.when(F.col("fragment") == f, F.col("common"))), F.lit(0)) for f in range(2 * FRAGMENTS)))
+    counted = partial.groupBy(*key).agg(F.sum("common").alias("overlap"), parts.alias("parts"))
+    linked = 100 * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b") - F.col("overlap"))
+    return materialize(counted.groupBy("a", "b").agg(F.max("parts").alias("parts"), F.max(linked).alias("linked"),
+                                                     F.count("*").alias("versions")), "overlaps")
+
+
+def _usable(live: DataFrame) -> DataFrame:
+    """``(doc_id, n, usable, usable_rare)``: bounds on what a set of ``n`` grams
+    can have in common with another.  The first fragment is posted in full, so
+    its grams without a live posting occur nowhere else.  Where all rare grams of
+    both sets are posted, that holds for all of them (``usable_rare``, else null)."""
+    n = F.col("pn").bitwiseAND(0xFFFFFFFF).alias("n")
+    counts = (live.where("token is not null").select("doc_id", n, "token").groupBy("doc_id", "n")
+              .agg(F.count(F.when(F.col("token") < FIRST, 1)).alias("live_first"),
+                   F.count(F.when(F.col("token") < RARE, 1)).alias("live_rare")))
+    sizes = (live.where("token is null").groupBy("doc_id", n)
+             .agg(F.min("hub_size").alias("first"), F.min("hub").alias("rare"),
+                  (F.count("hub") == F.count("*")).alias("full")))
+    bound = lambda posted, found: F.least("n", F.col("n") - F.col(posted) + F.col(found))
+    return counts.join(sizes, ["doc_id", "n"]).select(
+        "doc_id", "n", bound("first", "live_first").alias("usable"),
+        F.when(F.col("full"), bound("rare", "live_rare")).alias("usable_rare"))
+
+
+def _most_common(x: dict, y: dict):
+    """Bound on the overlap of two sets from their usable sizes."""
+    either = F.least(x["usable"], y["usable"])
+    rare = F.least(x["usable_rare"], y["usable_rare"])
+    return F.when(x["usable_rare"].isNull() | y["usable_rare"].isNull(), either).otherwise(F.least(either, rare))
+
+
+def _in_prefix(percent: int):
+    """Postings beyond the prefix only count as live; they make no candidates."""
+    n = F.col("pn").bitwiseAND(0xFFFFFFFF)
+    return F.shiftright("pn", 32) < n - F.ceil(n * percent / 100 - F.lit(1e-6)) + 1
+
+
+def _possible(pairs: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(hub, doc_id, n)`` that can be linked at all, as ``(a, b)``."""
+    of_hub = usable.toDF("hub", "hub_size", "hub_usable", "hub_usable_rare")
+    bound = _most_common({c: F.col(c) for c in ("usable", "usable_rare")},
+                         {c: F.col(f"hub_{c}") for c in ("usable", "usable_rare")})
+    return (pairs.join(usable, ["doc_id", "n"]).join(of_hub, "hub")
+            .where(_fits(F.col("n"), F.col("hub_size"), percent) & (bound >= _need(F.col("n"), F.col("hub_size"), percent)))
+            .select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+
+
+def _first_pairs(stars: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
+    """(hub, document) pairs of the prefix postings that can be linked."""
+    rows = stars.where("hub <> doc_id").where(_in_prefix(percent))
+    pairs = rows.select("hub", "doc_id", F.col("pn").bitwiseAND(0xFFFFFFFF).alias("n")).distinct()
+    return _possible(pairs, usable, percent)
+
+
+def _open_postings(stars: DataFrame, usable: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Prefix postings of the grams whose documents are not all linked to their
+    hubs, each with the gram's one corpus-wide ``hub``.  (Lists of two have been
+    counted; lists linked throughout are one component.)"""
+    stars = stars.where(_in_prefix(percent))
+    rows = stars.where("hub <> doc_id").select("token", "doc_id", "hub").join(
+        tested.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.lit(True).alias("linked")),
+        ["hub", "doc_id"], "left")
+    grams = (rows.groupBy("token").agg(F.count("*").alias("others"), F.count("linked").alias("linked"))
+             .where("others > 1 and linked < others").select("token"))
+    posting = stars.join(materialize(grams, "grams"), "token", "left_semi")
+    center = posting.groupBy("token").agg(F.max(F.when(F.col("hub_size") > 0, F.col("hub"))).alias("shared"),
+                                          F.min("hub").alias("local"))
+    full = usable.groupBy(F.col("doc_id").alias("hub")).agg(F.min(F.col("usable_rare").isNotNull()).alias("hub_full"))
+    size = F.col("pn").bitwiseAND(0xFFFFFFFF)
+    return materialize(
+        posting.join(center, "token").select("token", "doc_id", size.alias("n"), F.coalesce("shared", "local").alias("hub"))
+        .distinct().join(usable, ["doc_id", "n"]).join(full, "hub", "left"), "postings")
 
 
-def _missed_pairs(stars: DataFrame, tested: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _missed_pairs(posting: DataFrame, tested: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a prefix gram, were not counted
-    yet, and are not ruled out by their overlaps with a common hub ``h``:
-    ``|x & y| <= min(|x & h|, |y & h|) + min(|x - h|, |y - h|)``."""
-    known = tested.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "overlap", "linked")
-    rows = stars.join(known, ["hub", "doc_id"], "left")
-    open_grams = (rows.where(F.col("hub") != F.col("doc_id")).groupBy("token")
-                  .agg(F.count("*").alias("others"), F.min(F.coalesce("linked", F.lit(False))).alias("all_linked"))
-                  .where(~F.col("all_linked") & (F.col("others") > 1)).select("token"))
-    rows = rows.join(materialize(open_grams, "grams"), "token", "left_semi")
+    yet, and can be linked: with ``u`` the usable size and ``h`` a hub that both
+    were counted against, their overlap within ``h`` is at most the sum over the
+    fragments of ``min(|x & h|, |y & h|)``, and outside ``h`` at most
+    ``min(u_x - |x & h|, u_y - |y & h|)``."""
     near = components(links)
-    rows = rows.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    size = F.col("pn").bitwiseAND(0xFFFFFFFF)
-    posting = rows.select("token", "doc_id", size.alias("n"), "hub", F.coalesce("component_id", "doc_id").alias("c"),
-                          F.when(F.col("hub") == F.col("doc_id"), size).otherwise(F.col("overlap")).alias("o"))
-    mixed = posting.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    posting = materialize(posting.join(mixed.select("token"), "token", "left_semi"), "postings")
+    known = tested.where("versions = 1").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "parts")
+    posting = (posting.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(known, ["hub", "doc_id"], "left")
+               .select("token", "doc_id", "n", "usable", "usable_rare", "hub", F.coalesce("hub_full", F.lit(False)).alias("hub_full"),
+                       F.coalesce("component_id", "doc_id").alias("c"), (F.col("hub") == F.col("doc_id")).alias("is_hub"), "parts",
+                       F.when(F.col("hub") == F.col("doc_id"), F.col("n"))
+                       .otherwise(F.aggregate("parts", F.lit(0).cast("long"), lambda s, v: s + v)).alias("o")))
+    posting = materialize(posting, "with-components")
+    mixed = (posting.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"))
+             .where("low < high").select("token", "least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - F.lit(1e-6)))
+    posting = materialize(posting.join(mixed, "token").where(F.col("usable") >= _need(F.col("n"), partner, percent))
+                          .drop("least"), "mixed")
     x, y = ({c: F.col(f"{s}.{c}") for c in posting.columns} for s in "xy")
-    need = F.ceil(percent / F.lit(100.0 + percent) * (x["n"] + y["n"]) - F.lit(1e-6))
-    bound = F.least(x["o"], y["o"]) + F.least(x["n"] - x["o"], y["n"] - y["o"])
-    ruled_out = F.coalesce((x["hub"] == y["hub"]) & (bound < need), F.lit(False))
+    need = _need(x["n"], y["n"], percent)
+    outside = [F.least(x[u] - x["o"], y[u] - y["o"]) for u in ("usable", "usable_rare")]
+    out = F.when(x["hub_full"] & x["usable_rare"].isNotNull() & y["usable_rare"].isNotNull(),
+                 F.least(*outside)).otherwise(outside[0])
+    within = sum((F.least(F.get(x["parts"], F.lit(f)), F.get(y["parts"], F.lit(f))) for f in range(1, 2 * FRAGMENTS)),
+                 F.least(F.get(x["parts"], F.lit(0)), F.get(y["parts"], F.lit(0))))
+    by_hub = (F.least(x["o"], y["o"]) + out >= need) & (x["is_hub"] | y["is_hub"] | (within + out >= need))
+    possible = (_most_common(x, y) >= need) & (x["o"].isNull() | y["o"].isNull() | by_hub)
     pairs = (posting.alias("x").join(
         posting.alias("y"),
-        (x["token"] == y["token"]) & (x["c"] < y["c"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
-        & ~ruled_out)
+        (x["token"] == y["token"]) & (x["c"] < y["c"]) & _fits(x["n"], y["n"], percent) & possible)
         .select(F.least(x["doc_id"], y["doc_id"]).alias("a"), F.greatest(x["doc_id"], y["doc_id"]).alias("b")).distinct())
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
@@ -301,12 +397,17 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     spread = F.when(F.col("token").isNotNull() & F.col("hub").isNull(), F.col("token")).otherwise(
         F.xxhash64("doc_id", "token", F.lit(1)))
     live = materialize(postings.repartition(spread).sortWithinPartitions("token", "pn", "doc_id")
-                       .mapInArrow(_stars(percent), POSTINGS), "live")
+                       .mapInArrow(_stars(), POSTINGS), "live")
     stars = live.where("token is not null")
-    first = stars.where("fits and hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = _count_pairs(docs, first, shared, n, percent)
+    usable = materialize(_usable(live), "usable")
+    tested = _count_pairs(docs, _first_pairs(stars, usable, percent), shared, n, percent)
+    posting = _open_postings(stars, usable, tested, percent)
+    uncounted = materialize(_possible(posting.where("hub <> doc_id").select("hub", "doc_id", "n").distinct(), usable, percent)
+                            .join(tested.select("a", "b"), ["a", "b"], "left_anti"), "uncounted")
+    if not uncounted.isEmpty():
+        tested = materialize(tested.union(_count_pairs(docs, uncounted, shared, n, percent)), "overlaps")
     links = tested.where("linked").select("a", "b")
-    more = _count_pairs(docs, _missed_pairs(stars, tested, links, percent), shared, n, percent)
+    more = _count_pairs(docs, _missed_pairs(posting, tested, links, percent), shared, n, percent)
     comps = components(links.union(more.where("linked").select("a", "b")))
     rows = live.where("token is null").select("doc_id", F.col("pn").alias("n_shingles"))
     return (rows.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
