@@ -99,3 +99,14 @@ hit AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS o FROM g d JOIN g i
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(o AS BIGINT) AS n_shared, o / CAST(n AS DOUBLE) AS containment
 FROM hit JOIN item ON item.id = hit.item_id WHERE 100 * o >= 75 * n
 """
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
