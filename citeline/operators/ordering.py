@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 1 << 16
 
 
-def _cols(names: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in names]
-
-
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
                   block_of: str | None = None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Add ``out`` = 1-based position of each row within ``keys`` by ``order``.

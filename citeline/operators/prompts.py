@@ -156,16 +156,18 @@ def resolve_responses(attempts: DataFrame, key: str = "prompt_id") -> DataFrame:
 
     ``attempts``: key, attempt (0-based), http_status, finished_reason,
     error, text.  The first completed attempt within three gives the text.
-    Otherwise the third attempt decides: rate limited (HTTP 429, or an error
-    mentioning 429/rate) -> 'max retries exceeded'; an HTTP failure ->
-    bridge error; any other -> the generator's error message.  ``status`` is
+    Otherwise the third attempt decides: HTTP 429 -> 'max retries exceeded';
+    any other HTTP failure (no status, or none of 2xx) -> bridge error, whatever
+    its error text; an answered request whose error mentions 429/rate -> 'max
+    retries exceeded'; any other -> the generator's error message.  ``status`` is
     typed; ``compat_text`` is the string the reference hands on as text."""
     a = attempts.where(F.col("attempt") < MAX_ATTEMPTS)
     err = F.coalesce(F.col("error"), F.lit(""))
-    rate = (F.col("http_status") == 429) | err.contains("429") | F.lower(err).contains("rate")
-    ok = (F.col("http_status") < 400) & (F.col("finished_reason") == "completed")
-    kind = (F.when(ok, "completed").when(rate, "rate_limited")
-            .when(F.col("http_status") >= 400, "http_error").otherwise("error"))
+    rate = err.contains("429") | F.lower(err).contains("rate")
+    answered = F.coalesce(F.col("http_status").between(200, 299), F.lit(False))
+    kind = (F.when(answered & (F.col("finished_reason") == "completed"), "completed")
+            .when(F.col("http_status") == 429, "rate_limited").when(~answered, "http_error")
+            .when(rate, "rate_limited").otherwise("error"))
     a = a.withColumn("_kind", kind)
     g = a.groupBy(key).agg(
         F.min(F.when(F.col("_kind") == "completed", F.col("attempt"))).alias("_first_ok"),
@@ -178,7 +180,7 @@ def resolve_responses(attempts: DataFrame, key: str = "prompt_id") -> DataFrame:
     compat = (F.when(F.col("_first_ok").isNotNull(), F.col("text"))
               .when(last == "rate_limited", F.lit("[LLM ERROR: max retries exceeded]"))
               .when(last == "http_error", F.concat(F.lit("[BRIDGE ERROR: HTTP "),
-                                                   F.col("_last.http_status").cast("string"), F.lit("]")))
+                                                   F.coalesce(F.col("_last.http_status").cast("string"), F.lit("none")), F.lit("]")))
               .otherwise(F.concat(F.lit("[LLM ERROR: "), F.coalesce(F.col("_last.error"), F.lit("")), F.lit("]"))))
     return g.select(key, status.alias("status"), "attempts",
                     F.when(F.col("_first_ok").isNotNull(), F.col("text")).alias("text"),

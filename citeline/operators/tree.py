@@ -18,11 +18,14 @@ SYNTH_MAX = 200
 
 
 def tree_rollup(nodes: DataFrame) -> DataFrame:
-    """(node_id, parent_id, root_id, depth, path, name, content_count, synthesize)."""
+    """(node_id, parent_id, root_id, depth, path, name, content_count, synthesize).
+
+    A node whose parent is missing is a root of its own."""
     spark = nodes.sparkSession
     walk = spark.sql("""
         WITH RECURSIVE t(node_id, root_id, depth, path) AS (
-          SELECT node_id, node_id, 0, CAST(node_id AS STRING) FROM {nodes} WHERE parent_id IS NULL
+          SELECT node_id, node_id, 0, CAST(node_id AS STRING) FROM {nodes} r
+          WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM {nodes} p WHERE p.node_id = r.parent_id)
           UNION ALL
           SELECT n.node_id, t.root_id, t.depth + 1, t.path || '/' || CAST(n.node_id AS STRING)
           FROM {nodes} n JOIN t ON n.parent_id = t.node_id)

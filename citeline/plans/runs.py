@@ -44,7 +44,9 @@ def research_tables(persona_text: DataFrame, turns: DataFrame, search_text: Data
     sources = so.register_sources(interview.unionByName(section_search), corpus)
     sections = (ps.outline_sections(outline_text, [RUN], "text")
                 .select(RUN, F.col("sec_no").alias("sec_id"), F.col("sec_no").alias("step"), "level", "title"))
-    registry = sources.select(RUN, "seq", "step", "citation_index", "title", "description", "content")
+    # the citation number is unique per run; a step's request numbers are not
+    registry = sources.select(RUN, F.col("citation_index").cast("long").alias("seq"), "step", "citation_index",
+                              "title", "description", "content")
     relevance = rv.section_relevance(sections, registry)
     context = rv.section_context(sections, registry, relevance)
     stats = rp.run_stats(questions.select(RUN), RUN, personas=personas, dialogues=personas,
