@@ -16,8 +16,8 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 df = m.entry(spark)
 assert df.count() > 0 and df.columns[:2] == ["research_id", "citation_index"]
-plain = {n for n in m.queries() if not n.startswith("op") and n != "pipeline"}
-assert plain - {"outline_sections"} <= set(m.oracle_sql()) <= set(m.queries())
+plain = set(m.QUERIES)
+assert plain <= set(m.oracle_sql()) <= set(m.queries())
 assert m.queries()["cache_ttl"](spark, "/root/testdata/sf0.001").count() > 0   # pandas task code
 print("ENTRY-OK")
 """
