@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sides below this many rows may be broadcast (one long key each: 8 MB).
+#: Sides of at most this many rows may be broadcast (one to five longs each: up to about 60 MB).
 BROADCAST_ROWS = 1_000_000
 
 

@@ -6,7 +6,8 @@ cut into fragments.  Documents that share a gram within their prefixes are
 candidates; each candidate pair is then counted fragment by fragment on cut-out
 segments, and the partial overlaps are summed per pair.
 
-Groups are never expanded into all pairs.  Within a gram's posting list every
+Documents with equal sets are one document to all that follows.  Groups are
+never expanded into all pairs.  Within a gram's posting list every
 document is first compared with one central document (in whose set the gram
 comes earliest: edited copies have private grams before it).  Components of
 those links follow; only lists that still hold different components are joined
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeline.llm.common import components, materialize, small
-from citeline.llm.tokens import shingles, words_of_texts
+from citeline.llm.tokens import mix, shingles, words_of_texts
 
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 256
 FRAGMENTS = 4          # of the rare and of the frequent grams each
 RARE = 1 << 58         # grams below are of class 0
 FIRST = RARE // FRAGMENTS  # and below this in the first fragment
+WIDE_ROWS = 200_000    # counted pairs with their parts that may be broadcast (about 130 bytes each)
 LOCAL_HOT = 16         # postings of one gram that a task may pass on per batch
 
 
@@ -130,8 +132,8 @@ def _postings(shared, n: int, percent: int):
     postings that already have a central document of the same batch as ``hub``
     (only for grams with more than ``LOCAL_HOT`` there: the map-side combine of
     hot grams; their ``hub_size`` is negative); and one row per document (``token`` null, ``pn`` its set size,
-    ``hub_size`` its grams in the first fragment and ``hub``, if all its rare
-    grams are posted, their number)."""
+    ``hub_size`` its grams in the first fragment, both below 31 bits each of a signature of the set; ``hub``, if all
+    its rare grams are posted, their number)."""
     def emit(batches: Iterator[pa.RecordBatch]):
         classes = np.frombuffer(shared.value, np.uint8)
 
@@ -142,9 +144,11 @@ def _postings(shared, n: int, percent: int):
             rare = np.array([np.searchsorted(s, RARE) for s in sets], np.int64)
             posted = np.maximum(first, _prefix(sizes, percent))
             posted = np.where(2 * rare <= sizes, np.maximum(posted, rare), posted)
+            sign = mix(np.array([s.astype(np.uint64).sum(dtype=np.uint64) for s in sets], np.uint64))
+            high, low = ((sign >> np.uint64(k) & np.uint64((1 << 31) - 1)).astype(np.int64) << 32 for k in (33, 2))
             docs = pa.RecordBatch.from_arrays(
-                [pa.nulls(len(ids), pa.int64()), pa.array(sizes), ids, pa.array(rare, mask=posted < rare),
-                 pa.array(first)], names)
+                [pa.nulls(len(ids), pa.int64()), pa.array(high | sizes), ids, pa.array(rare, mask=posted < rare),
+                 pa.array(low | first)], names)
             known = np.flatnonzero(np.asarray(ids.is_valid()) & (sizes > 0))
             if not len(known):
                 return [docs]
@@ -256,13 +260,14 @@ def _count_pairs(docs: DataFrame, pairs: DataFrame, shared, n: int, percent: int
     where rows with different texts share an id.  Pairs without a common gram
     are left out."""
     pairs = materialize(pairs, "pairs")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    ids = _ends(pairs)
     wanted = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
     parts = wanted.mapInArrow(_segments(shared, n), "doc_id long, version long, fragment int, size long, grams array<long>")
-    cut = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(2 * FRAGMENTS - 1))).alias("fragment"))
+    keys = small(pairs.select("a", "b"))
     side = {s: parts.select(F.col("doc_id").alias(s), F.col("version").alias(f"version_{s}"), "fragment",
                             F.col("size").alias(f"size_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab"}
-    both = cut.join(side["b"], ["b", "fragment"]).join(side["a"], ["a", "fragment"])
+    hubs = side["a"].join(small(materialize(pairs.select("a").distinct(), "hubs")), "a", "left_semi")
+    both = side["b"].join(keys, "b").join(hubs, ["a", "fragment"])
     key = ["a", "b", "version_a", "version_b", "size_a", "size_b"]
     partial = (both.select(*key, "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
                .groupBy(*key, "fragment").agg(F.max("common").alias("common")))  # repeated rows count once
@@ -273,22 +278,49 @@ def _count_pairs(docs: DataFrame, pairs: DataFrame, shared, n: int, percent: int
                                                      F.count("*").alias("versions")), "overlaps")
 
 
-def _usable(live: DataFrame) -> DataFrame:
-    """``(doc_id, n, usable, usable_rare)``: bounds on what a set of ``n`` grams
+def _ends(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+
+
+def _copies(live: DataFrame) -> DataFrame:
+    """``(doc_id, copy_of)``: documents whose set equals that of a smaller id,
+    the smallest one.  Ids that stand for different sets have no copies."""
+    one = (live.where("token is null and doc_id is not null").where(F.col("pn").bitwiseAND(0xFFFFFFFF) > 0)
+           .groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("pn", "hub_size") for f in (F.min, F.max)))
+           .where("min_pn = max_pn and min_hub_size = max_hub_size").drop("max_pn", "max_hub_size"))
+    groups = materialize(one.groupBy("min_pn", "min_hub_size").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("k"))
+                         .where("k > 1").drop("k"), "copy-groups")
+    return materialize(one.join(small(groups), ["min_pn", "min_hub_size"]).where("doc_id <> copy_of")
+                       .select("doc_id", "copy_of"), "copies")
+
+
+def _representatives(live: DataFrame, copies: DataFrame) -> DataFrame:
+    """The postings ``(token, pn, doc_id, hub, shared)`` of all but copies, with
+    hubs that are no copies (equal sets have equal postings).  ``shared`` tells
+    corpus-wide hubs from those of a batch."""
+    hubs = small(copies).select(F.col("doc_id").alias("hub"), "copy_of")
+    rows = live.where("token is not null").join(small(copies), "doc_id", "left_anti").join(hubs, "hub", "left")
+    return materialize(rows.select("token", "pn", "doc_id", F.coalesce("copy_of", "hub").alias("hub"),
+                                   (F.col("hub_size") > 0).alias("shared")), "representatives")
+
+
+def _usable(live: DataFrame, stars: DataFrame) -> DataFrame:
+    """``(doc_id, n, usable, usable_rare, rest)``: bounds on what a set of ``n`` grams
     can have in common with another.  The first fragment is posted in full, so
     its grams without a live posting occur nowhere else.  Where all rare grams of
-    both sets are posted, that holds for all of them (``usable_rare``, else null)."""
+    both sets are posted, that holds for all of them (``usable_rare``, else null).
+    ``rest`` is the number of grams outside the first fragment."""
     n = F.col("pn").bitwiseAND(0xFFFFFFFF).alias("n")
-    counts = (live.where("token is not null").select("doc_id", n, "token").groupBy("doc_id", "n")
+    counts = (stars.select("doc_id", n, "token").groupBy("doc_id", "n")
               .agg(F.count(F.when(F.col("token") < FIRST, 1)).alias("live_first"),
                    F.count(F.when(F.col("token") < RARE, 1)).alias("live_rare")))
     sizes = (live.where("token is null").groupBy("doc_id", n)
-             .agg(F.min("hub_size").alias("first"), F.min("hub").alias("rare"),
+             .agg(F.min(F.col("hub_size").bitwiseAND(0xFFFFFFFF)).alias("first"), F.min("hub").alias("rare"),
                   (F.count("hub") == F.count("*")).alias("full")))
     bound = lambda posted, found: F.least("n", F.col("n") - F.col(posted) + F.col(found))
     return counts.join(sizes, ["doc_id", "n"]).select(
         "doc_id", "n", bound("first", "live_first").alias("usable"),
-        F.when(F.col("full"), bound("rare", "live_rare")).alias("usable_rare"))
+        F.when(F.col("full"), bound("rare", "live_rare")).alias("usable_rare"), (F.col("n") - F.col("first")).alias("rest"))
 
 
 def _most_common(x: dict, y: dict):
@@ -306,7 +338,7 @@ def _in_prefix(percent: int):
 
 def _possible(pairs: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
     """The ``pairs(hub, doc_id, n)`` that can be linked at all, as ``(a, b)``."""
-    of_hub = usable.toDF("hub", "hub_size", "hub_usable", "hub_usable_rare")
+    of_hub = usable.drop("rest").toDF("hub", "hub_size", "hub_usable", "hub_usable_rare")
     bound = _most_common({c: F.col(c) for c in ("usable", "usable_rare")},
                          {c: F.col(f"hub_{c}") for c in ("usable", "usable_rare")})
     return (pairs.join(usable, ["doc_id", "n"]).join(of_hub, "hub")
@@ -314,6 +346,22 @@ def _possible(pairs: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
             .select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
 
 
+def _first_fragment(pairs: DataFrame, stars: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` that can be linked by their overlap in the first
+    fragment.  Its shared grams are all posted, so no text is read for it.  For
+    ids with several texts the bounds hold for each of them."""
+    pairs = materialize(pairs, "candidates")
+    ids = small(_ends(pairs))
+    tokens = (stars.where(F.col("token") < FIRST).join(ids, "doc_id", "left_semi")
+              .groupBy("doc_id").agg(F.collect_set("token").alias("tokens")))
+    sets = (usable.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+            .join(tokens, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<long>"))))
+    a, b = (sets.toDF(*(f"{c}_{s}" if c != "doc_id" else s for c in sets.columns)) for s in "ab")
+    most = F.size(F.array_intersect("tokens_a", "tokens_b")) + F.least("rest_a", "rest_b")
+    return (b.join(small(pairs), "b").join(a, "a")
+            .where(most >= _need(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+
+
 def _first_pairs(stars: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
     """(hub, document) pairs of the prefix postings that can be linked."""
     rows = stars.where("hub <> doc_id").where(_in_prefix(percent))
@@ -327,18 +375,19 @@ def _open_postings(stars: DataFrame, usable: DataFrame, tested: DataFrame, perce
     counted; lists linked throughout are one component.)"""
     stars = stars.where(_in_prefix(percent))
     rows = stars.where("hub <> doc_id").select("token", "doc_id", "hub").join(
-        tested.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.lit(True).alias("linked")),
+        small(tested.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.lit(True).alias("linked"))),
         ["hub", "doc_id"], "left")
     grams = (rows.groupBy("token").agg(F.count("*").alias("others"), F.count("linked").alias("linked"))
              .where("others > 1 and linked < others").select("token"))
-    posting = stars.join(materialize(grams, "grams"), "token", "left_semi")
-    center = posting.groupBy("token").agg(F.max(F.when(F.col("hub_size") > 0, F.col("hub"))).alias("shared"),
+    posting = stars.join(small(materialize(grams, "grams")), "token", "left_semi")
+    center = posting.groupBy("token").agg(F.max(F.when(F.col("shared"), F.col("hub"))).alias("shared"),
                                           F.min("hub").alias("local"))
     full = usable.groupBy(F.col("doc_id").alias("hub")).agg(F.min(F.col("usable_rare").isNotNull()).alias("hub_full"))
     size = F.col("pn").bitwiseAND(0xFFFFFFFF)
     return materialize(
-        posting.join(center, "token").select("token", "doc_id", size.alias("n"), F.coalesce("shared", "local").alias("hub"))
-        .distinct().join(usable, ["doc_id", "n"]).join(full, "hub", "left"), "postings")
+        posting.drop("shared").join(center, "token")
+        .select("token", "doc_id", size.alias("n"), F.shiftright("pn", 32).alias("pos"), F.coalesce("shared", "local").alias("hub"))
+        .distinct().join(usable.drop("rest"), ["doc_id", "n"]).join(full, "hub", "left"), "postings")
 
 
 def _missed_pairs(posting: DataFrame, tested: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -346,11 +395,15 @@ def _missed_pairs(posting: DataFrame, tested: DataFrame, links: DataFrame, perce
     yet, and can be linked: with ``u`` the usable size and ``h`` a hub that both
     were counted against, their overlap within ``h`` is at most the sum over the
     fragments of ``min(|x & h|, |y & h|)``, and outside ``h`` at most
-    ``min(u_x - |x & h|, u_y - |y & h|)``."""
-    near = components(links)
-    known = tested.where("versions = 1").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "parts")
+    ``min(u_x - |x & h|, u_y - |y & h|)``.
+
+    A pair needs to be found at its first common gram only, so nothing before
+    that one's position is common; and of grams with the same posting list one
+    is enough."""
+    near = small(components(links))
+    known = small(tested.where("versions = 1").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "parts"), WIDE_ROWS)
     posting = (posting.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(known, ["hub", "doc_id"], "left")
-               .select("token", "doc_id", "n", "usable", "usable_rare", "hub", F.coalesce("hub_full", F.lit(False)).alias("hub_full"),
+               .select("token", "doc_id", "n", "pos", "usable", "usable_rare", "hub", F.coalesce("hub_full", F.lit(False)).alias("hub_full"),
                        F.coalesce("component_id", "doc_id").alias("c"), (F.col("hub") == F.col("doc_id")).alias("is_hub"), "parts",
                        F.when(F.col("hub") == F.col("doc_id"), F.col("n"))
                        .otherwise(F.aggregate("parts", F.lit(0).cast("long"), lambda s, v: s + v)).alias("o")))
@@ -358,17 +411,24 @@ def _missed_pairs(posting: DataFrame, tested: DataFrame, links: DataFrame, perce
     mixed = (posting.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"))
              .where("low < high").select("token", "least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - F.lit(1e-6)))
-    posting = materialize(posting.join(mixed, "token").where(F.col("usable") >= _need(F.col("n"), partner, percent))
-                          .drop("least"), "mixed")
+    mixed = small(materialize(mixed, "mixed-grams"))
+    posting = materialize(posting.join(mixed, "token").where(
+        F.least(F.col("usable"), F.col("n") - F.col("pos")) >= _need(F.col("n"), partner, percent)).drop("least"), "mixed")
+    listed = posting.select("token", F.xxhash64("doc_id", "n").alias("entry")).distinct()
+    lists = listed.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor("entry").alias("first"),
+                                        F.bit_xor(F.xxhash64("entry")).alias("second"))
+    kept = lists.where("k > 1").groupBy("k", "first", "second").agg(F.min("token").alias("token")).select("token")
+    posting = posting.join(small(materialize(kept, "lists")), "token", "left_semi")
     x, y = ({c: F.col(f"{s}.{c}") for c in posting.columns} for s in "xy")
     need = _need(x["n"], y["n"], percent)
+    ahead = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
     outside = [F.least(x[u] - x["o"], y[u] - y["o"]) for u in ("usable", "usable_rare")]
-    out = F.when(x["hub_full"] & x["usable_rare"].isNotNull() & y["usable_rare"].isNotNull(),
+    out = F.when(x["hub_full"] & y["hub_full"] & x["usable_rare"].isNotNull() & y["usable_rare"].isNotNull(),
                  F.least(*outside)).otherwise(outside[0])
     within = sum((F.least(F.get(x["parts"], F.lit(f)), F.get(y["parts"], F.lit(f))) for f in range(1, 2 * FRAGMENTS)),
                  F.least(F.get(x["parts"], F.lit(0)), F.get(y["parts"], F.lit(0))))
     by_hub = (F.least(x["o"], y["o"]) + out >= need) & (x["is_hub"] | y["is_hub"] | (within + out >= need))
-    possible = (_most_common(x, y) >= need) & (x["o"].isNull() | y["o"].isNull() | by_hub)
+    possible = (ahead >= need) & (_most_common(x, y) >= need) & (x["o"].isNull() | y["o"].isNull() | by_hub)
     pairs = (posting.alias("x").join(
         posting.alias("y"),
         (x["token"] == y["token"]) & (x["c"] < y["c"]) & _fits(x["n"], y["n"], percent) & possible)
@@ -398,8 +458,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
         F.xxhash64("doc_id", "token", F.lit(1)))
     live = materialize(postings.repartition(spread).sortWithinPartitions("token", "pn", "doc_id")
                        .mapInArrow(_stars(), POSTINGS), "live")
-    stars = live.where("token is not null")
-    usable = materialize(_usable(live), "usable")
+    copies = _copies(live)
+    stars = _representatives(live, copies)
+    usable = small(materialize(_usable(live, stars), "usable"))
     tested = _count_pairs(docs, _first_pairs(stars, usable, percent), shared, n, percent)
     posting = _open_postings(stars, usable, tested, percent)
     uncounted = materialize(_possible(posting.where("hub <> doc_id").select("hub", "doc_id", "n").distinct(), usable, percent)
@@ -407,8 +468,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     if not uncounted.isEmpty():
         tested = materialize(tested.union(_count_pairs(docs, uncounted, shared, n, percent)), "overlaps")
     links = tested.where("linked").select("a", "b")
-    more = _count_pairs(docs, _missed_pairs(posting, tested, links, percent), shared, n, percent)
+    missed = _first_fragment(_missed_pairs(posting, tested, links, percent), stars, usable, percent)
+    more = _count_pairs(docs, missed, shared, n, percent)
     comps = components(links.union(more.where("linked").select("a", "b")))
-    rows = live.where("token is null").select("doc_id", F.col("pn").alias("n_shingles"))
+    of_copies = (copies.join(comps.withColumnRenamed("node", "copy_of"), "copy_of", "left")
+                 .select(F.col("doc_id").alias("node"), F.coalesce("component_id", "copy_of").alias("component_id")))
+    comps = comps.union(of_copies)
+    rows = live.where("token is null").select("doc_id", F.col("pn").bitwiseAND(0xFFFFFFFF).alias("n_shingles"))
     return (rows.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
