@@ -352,8 +352,8 @@ def _first_fragment(pairs: DataFrame, stars: DataFrame, usable: DataFrame, perce
     ids with several texts the bounds hold for each of them."""
     pairs = materialize(pairs, "candidates")
     ids = small(_ends(pairs))
-    tokens = (stars.where(F.col("token") < FIRST).join(ids, "doc_id", "left_semi")
-              .groupBy("doc_id").agg(F.collect_set("token").alias("tokens")))
+    tokens = materialize(stars.where(F.col("token") < FIRST).groupBy("doc_id").agg(F.collect_set("token").alias("tokens")),
+                         "first-grams").join(ids, "doc_id", "left_semi")
     sets = (usable.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
             .join(tokens, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<long>"))))
     a, b = (sets.toDF(*(f"{c}_{s}" if c != "doc_id" else s for c in sets.columns)) for s in "ab")
