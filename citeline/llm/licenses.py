@@ -1,14 +1,16 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
 Rules are regular expressions over the text's words, built from license names
-and statement forms.  A document is scanned only if it speaks of licenses at
-all, and a rule runs only if its keyword is among the document's words.  Rules
-have priorities; a detection is suppressed when one of the same or a better
-priority covers its words.  Fixed phrases are found besides the rules.
+and statement forms.  A document is scanned only if it holds a
+string without which no rule can match, and a rule runs only if its keyword is
+among the document's words.  Rules have priorities; a detection is suppressed
+when one of the same or a better priority covers its words.  Fixed phrases are found besides the rules.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,12 @@ NAMES = (
     ("php", "php", "php"), ("lppl", "latex project public", "latex"), ("ncsa", "university of illinois", "illinois"),
     ("ms-pl", "microsoft public", "microsoft"), ("odbl", "open database", "database"), ("x11", "x11", "x11"),
 )
+#: Words that go with "under" in a statement that need not say "license".
+VERBS = ("released", "distributed", "published", "available")
 #: (priority, confidence, form of the statement around a name).
 FORMS = (
     (0, 1.0, "spdx license identifier {name}(?: [0-9]+){{0,2}}"),
-    (1, 0.95, "(?:licensed|released|distributed|published|available) under (?:the )?(?:terms of )?(?:the )?{name}"
+    (1, 0.95, f"(?:licensed|{'|'.join(VERBS)}) under " "(?:the )?(?:terms of )?(?:the )?{name}"
               "(?: public)?(?: licen[sc]e)?(?: v(?:ersion)?)?(?: [0-9]+){{0,2}}"),
     (2, 0.9, "(?:subject to|governed by|covered by|see) (?:the )?(?:terms of )?(?:the )?{name}(?: licen[sc]e)"),
     (2, 0.85, "{name}(?: public)? licen[sc]e(?: v(?:ersion)?)?(?: [0-9]+){{1,2}}"),
@@ -48,7 +52,8 @@ FORMS = (
     (4, 0.5, "{name} licensed"),
 )
 LEVELS = 1 + max(priority for priority, _, _ in FORMS)
-GATE = ("licen", "spdx")
+#: Every match of a rule holds one of these.
+GATE = ("licen", "spdx", *(f" {verb} under " for verb in VERBS))
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -142,7 +147,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                     - _count_words(F.replace(F.substring_index(text, needle, -1), F.lit("  "), F.lit(" "))))
         labels.append(F.when(there, F.lit(label)))
     base = F.array_sort(F.array_compact(F.array(*labels)))
-    gate = F.contains("spaced", F.lit(GATE[0])) | F.contains("spaced", F.lit(GATE[1]))
+    gate = reduce(Column.__or__, (F.contains("spaced", F.lit(part)) for part in GATE))
     found = F.when(gate, _unsuppressed(_detections(F.col("spaced")))).otherwise(F.array().cast(SPAN))
     rows = rows.select(
         "doc_id", "n_words", sum(count[1:], count[0]).alias("n_base"), F.least(*first).cast("long").alias("first_word"),

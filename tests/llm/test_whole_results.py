@@ -1,10 +1,12 @@
 """Cases in which the operators once did less than the whole job."""
 
 import random
+import re
 
 from llm_fixtures import prose
 
 import corpus_pipeline
+from citeline.llm.licenses import FORMS, NAMES, rules, scan_licenses
 from citeline.llm.line_dedup import dedup_lines
 
 
@@ -44,3 +46,38 @@ def test_line_dedup_deletes_whole_repeated_runs(make, spark):
     docs = make([(i, t, "en", "s", len(t)) for i, t in rows[:5]], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert kept == {1: rows[0][1], 2: "c\nd", 4: rows[3][1]}
+
+
+def standing_rules(text):
+    """Detections that stand, from all rules without any gate or keyword."""
+    low = text.translate(str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)}))
+    spaced = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    found = set()
+    for label, _, pattern, priority, confidence in rules():
+        for m in re.finditer(pattern, spaced):
+            start = len(spaced[:m.start()].split())
+            found.add((start, start + len(m[0].split()), priority, label, confidence))
+    rank = lambda d: (d[2], d[0], -d[1], d[3])
+    return {d for d in found if not any(
+        e != d and e[0] <= d[0] and e[1] >= d[1] and e[2] <= d[2] and ((e[0], e[1]) != (d[0], d[1]) or rank(e) < rank(d))
+        for e in found)}
+
+
+def test_license_scan_finds_every_form_of_every_name(make):
+    plain = lambda pattern: re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", pattern.replace("[0-9]", "2").replace("[sc]", "s"))
+    texts = ["Available under CC BY-SA 4.0", "Released under the MIT", "distributed under the terms of the GNU General Public",
+             "published under Apache 2.0", "it is available under the bridge", "under mit", "was released. Under CC0 so"]
+    for _, _, form in FORMS[:2]:
+        texts += [plain(re.sub(r"\{[0-9],?[0-9]?\}", "", form.format(name=name))) for _, name, _ in NAMES]
+    verbs = ("released", "distributed", "published", "available")
+    texts += [f"{verb} under the terms of the {plain(name)}" for verb in verbs for _, name, _ in NAMES]
+    rng = random.Random(12)
+    bits = [*verbs, "under", "the", "terms of", "mit", "apache 2", "cc by", "sa", "nc", "gnu general public", "2", "word"]
+    texts += [" ".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(200)]
+    got = {r.doc_id: r for r in scan_licenses(make(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        want = standing_rules(text)
+        assert {tuple(d) for d in got[i].detections} == want, text
+    assert got[0].labels == "cc-by,cc-by-sa" and got[0].score == 0.95
+    assert got[1].labels == "mit" and got[2].labels == "gpl" and got[4].labels == ""
+    assert sum(bool(got[i].detections) for i in range(len(texts))) > 250
