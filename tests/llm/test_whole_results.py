@@ -3,12 +3,15 @@
 import random
 import re
 
+import numpy as np
 from llm_fixtures import prose
 
 import corpus_pipeline
 from citeline.llm.licenses import FORMS, NAMES, rules, scan_licenses
 from citeline.llm.line_dedup import dedup_lines
 
+from citeline.llm.substring_dedup import passages, repeated_passages
+
 
 def repeated_lines(rows, least):
     """Lines per document that lie in a run of ``least`` words or more with an
@@ -81,3 +84,49 @@ def test_license_scan_finds_every_form_of_every_name(make):
     assert got[0].labels == "cc-by,cc-by-sa" and got[0].score == 0.95
     assert got[1].labels == "mit" and got[2].labels == "gpl" and got[4].labels == ""
     assert sum(bool(got[i].detections) for i in range(len(texts))) > 250
+
+
+def test_substring_dedup_finds_passages_inside_longer_runs(make):
+    words = lambda seed, n: prose(seed, n, 10 ** 6)
+
+    def changed(run, step, tag):
+        return [f"{tag}{k}" if k % step == 0 else w for k, w in enumerate(run)]
+    good, tail, more = words(1, 60), words(2, 40), words(3, 60)
+    texts = [good + tail, good + changed(tail, 8, "x"),                                     # verbatim, then 65 %
+             words(4, 30) + tail + more, words(5, 9) + changed(tail, 8, "y") + more + words(6, 70),
+             words(7, 60) + words(8, 40) + words(9, 60), words(7, 60) + changed(words(8, 40), 5, "z") + words(9, 60) + words(10, 30)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = repeated_passages(make(rows)).collect()
+
+    def covered(a, b, start, end):
+        return any(r.start_word <= start and r.end_word >= end if r.doc_id == a else r.match_start_word <= start and r.match_end_word >= end
+                   for r in got if {r.doc_id, r.match_doc_id} == {a, b})
+    assert covered(1, 0, 0, 59) and covered(3, 2, 49, 108)
+    assert covered(5, 4, 0, 59) and covered(5, 4, 100, 159)
+    for r in got:
+        a, b = texts[r.doc_id][r.start_word:r.end_word + 1], texts[r.match_doc_id][r.match_start_word:r.match_end_word + 1]
+        x, y = ({tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+        assert len(x & y) >= 0.75 * len(x | y) and min(len(a), len(b)) >= 50
+
+
+def test_passages_hold_every_span_of_a_diagonal_that_qualifies():
+    rng = random.Random(13)
+    for _ in range(60):
+        n, share = rng.randrange(12, 70), rng.choice([0.03, 0.08, 0.15, 0.3])
+        a = np.arange(1, n + 1, dtype=np.uint64)
+        b = np.array([10 ** 6 + k if rng.random() < share else k + 1 for k in range(n)], np.uint64)
+        got = passages(a, b, {(int(k), int(k)) for k in np.flatnonzero(a == b)}, False, 14, 75)      # at least 10 grams
+        for s in range(n):
+            for e in range(s + 9, n):
+                same = int((a[s:e + 1] == b[s:e + 1]).sum())
+                if a[s] == b[s] and a[e] == b[e] and same == e - s + 1:
+                    assert any(x <= s and e <= y for x, y, *_ in got)       # every verbatim run
+                elif a[s] == b[s] and a[e] == b[e] and 100 * same >= 75 * (2 * (e - s + 1) - same):
+                    assert any(x <= e and s <= y for x, y, *_ in got)       # every near one is met
+
+
+def test_passages_join_an_insertion_without_the_edited_tail():
+    a = np.arange(1, 91, dtype=np.uint64)                       # 26 grams, 5 over the inserted word, 26 grams, an edited tail
+    b = np.concatenate([a[:26], np.arange(901, 906, dtype=np.uint64), a[30:56], np.where(a[56:] % 7 == 0, a[56:], a[56:] + 5000)]).astype(np.uint64)
+    got = passages(a, b, {(10, 10), (40, 41)}, False, 50, 75)
+    assert any(s == 0 and e >= 55 and t == 0 and f >= 56 for s, e, t, f, _ in got)
