@@ -130,3 +130,21 @@ def test_passages_join_an_insertion_without_the_edited_tail():
     b = np.concatenate([a[:26], np.arange(901, 906, dtype=np.uint64), a[30:56], np.where(a[56:] % 7 == 0, a[56:], a[56:] + 5000)]).astype(np.uint64)
     got = passages(a, b, {(10, 10), (40, 41)}, False, 50, 75)
     assert any(s == 0 and e >= 55 and t == 0 and f >= 56 for s, e, t, f, _ in got)
+
+
+def test_substring_dedup_pairs_documents_that_fail_against_the_hub(make):
+    rows = []
+    for k in range(200):
+        common, rest = prose(20000 + k, 45, 10 ** 7), prose(30000 + k, 10, 10 ** 7)
+        rows.append((10 * k, " ".join(common + prose(40000 + k, 6, 10 ** 7))))                   # the hub holds 45 words of 55
+        rows += [(10 * k + n, " ".join(prose(50000 + 10 * k + n, 60, 10 ** 7) + common + rest + prose(60000 + 10 * k + n, 60, 10 ** 7)))
+                 for n in (1, 2, 3)]
+    got = repeated_passages(make(rows)).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+        spans.setdefault(r.match_doc_id, []).append((r.match_start_word, r.match_end_word))
+    for k in range(200):
+        for n in (1, 2, 3):
+            assert any(s <= 60 and e >= 114 for s, e in spans.get(10 * k + n, [])), (k, n)
+    assert len({(r.doc_id, r.start_word, r.match_doc_id, r.match_start_word) for r in got}) == len(got)
