@@ -110,3 +110,27 @@ s AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
+
+
+#: CRC-32 of a decimal id, bit by bit; then the trie by prefixes of lists.
+TRIE = """
+WITH ids AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crcs AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ord(x)::BIGINT)),
+    (c, b) -> list_reduce(list_prepend(xor(c, b), range(8)), (k, i) -> xor(k >> 1, 3988292384::BIGINT * (k & 1)))), 4294967295::BIGINT) AS crc
+  FROM ids),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.turns[1:(a.crc % 9)::INT], []), coalesce(a.turns[(a.crc % 9)::INT + 1:], [])) AS turns
+  FROM crcs a LEFT JOIN ids b ON b.conv_id = a.conv_id - a.conv_id % 5),
+steps AS (SELECT conv_id, d, turns[1:d] AS path, d = len(turns) AS at_end FROM rebuilt, unnest(range(0, len(turns) + 1)) u(d)),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE at_end), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(path[d].text) END AS own
+  FROM steps GROUP BY path, d),
+children AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+known AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (path)),
+sums AS (SELECT k.path[1:u.e] AS path, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, sum(k.own) AS saved_tokens
+  FROM known k, unnest(range(0, k.d + 1)) u(e) GROUP BY 1)
+SELECT k.conv_id, k.d::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM known k JOIN sums s USING (path) LEFT JOIN known p ON k.d > 0 AND p.path = k.path[1:k.d - 1]
+"""

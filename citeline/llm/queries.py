@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeline.llm import oracles
+from citeline.llm.alignment import group_digests, token_links
 from citeline.llm.chat import format_chats, read_back
 from citeline.llm.decontaminate import leaks
 from citeline.llm.licenses import scan_licenses
 from citeline.llm.line_dedup import dedup_lines
 from citeline.llm.mixing import mix_sources
 from citeline.llm.ngram_join import ngram_components
+from citeline.llm.packing import pack
 from citeline.llm.pii import KINDS, sanitise
+from citeline.llm.prefix_trie import prefix_trie
 from citeline.llm.substring_dedup import repeated_passages
 from citeline.llm.topk import top_k
 from citeline.llm.toxicity import held_out, toxicity
@@ -102,3 +105,21 @@ def op9_decontaminate(spark: SparkSession, base: str) -> DataFrame:
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, base: str) -> DataFrame:
     return scan_licenses(table(spark, base, "documents")).drop("detections")
+
+
+@query("op11_align_tokenizers")
+def op11_align_tokenizers(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    return group_digests(token_links(docs, byte_bpe="byte_bpe_50k.json", piece_bpe="piece_bpe_32k.model"))
+
+
+@query("op12_pack")
+def op12_pack(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    return (pack(docs, tokenizer="byte_bpe_50k.json", end_id=1, capacity=2048)
+            .withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query("op13_prefix_trie", oracles.TRIE)
+def op13_prefix_trie(spark: SparkSession, base: str) -> DataFrame:
+    return prefix_trie(table(spark, base, "conversations"))
