@@ -116,8 +116,8 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 TRIE = """
 WITH ids AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-crcs AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ord(x)::BIGINT)),
-    (c, b) -> list_reduce(list_prepend(xor(c, b), range(8)), (k, i) -> xor(k >> 1, 3988292384::BIGINT * (k & 1)))), 4294967295::BIGINT) AS crc
+crcs AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda k, i: xor(k >> 1, 3988292384::BIGINT * (k & 1)))), 4294967295::BIGINT) AS crc
   FROM ids),
 rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.turns[1:(a.crc % 9)::INT], []), coalesce(a.turns[(a.crc % 9)::INT + 1:], [])) AS turns
   FROM crcs a LEFT JOIN ids b ON b.conv_id = a.conv_id - a.conv_id % 5),
