@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeline.llm import oracles
-from citeline.llm.alignment import group_digests, token_links
+from citeline.llm.alignment import token_links
 from citeline.llm.chat import format_chats, read_back
 from citeline.llm.decontaminate import leaks
 from citeline.llm.licenses import scan_licenses
@@ -110,7 +110,7 @@ def op10_license_scan(spark: SparkSession, base: str) -> DataFrame:
 @query("op11_align_tokenizers")
 def op11_align_tokenizers(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents").select("doc_id", "text")
-    return group_digests(token_links(docs, byte_bpe="byte_bpe_50k.json", piece_bpe="piece_bpe_32k.model"))
+    return token_links(docs, byte_bpe="byte_bpe_50k.json", piece_bpe="piece_bpe_32k.model")
 
 
 @query("op12_pack")
