@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from citeline.plans.catalog import QUERIES
 from citeline.sources.tables import read_table
-from conftest import SF_CHECK
+from paths import SF_CHECK
 
 
 def q(spark, name):

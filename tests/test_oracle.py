@@ -5,7 +5,7 @@ import pytest
 
 from citeline.oracle_check import compare, duck
 from citeline.plans.catalog import ORACLE, QUERIES
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 @pytest.fixture(scope="module")

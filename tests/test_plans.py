@@ -4,7 +4,7 @@ partitioned, per-document operators do not shuffle."""
 import pytest
 
 from citeline.plans.catalog import QUERIES
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 PYTHON_OK = {"cache_ttl", "cache_ttl_stream"}     # the TTL fold is the one pandas operator
 NO_SHUFFLE = {"page_clean_text", "page_metadata", "page_main_content", "doc_paragraph_score",
