@@ -7,12 +7,15 @@ the anchor and a failed fetch writes nothing.  Each decision depends on the
 previous miss, so the misses of one key form a chain that has to be
 followed in time order; ``lag`` or window tricks cannot express it.
 
-Plan: hash-partition by key and sort within partitions by (key, ts, id) —
-one shuffle — then ``mapInPandas`` streams the sorted Arrow batches with
-O(1) state per task (current key, anchor).  Inside a batch the chain jumps
-from miss to miss with a binary search, so the Python loop runs once per
-miss, not once per request.  No group is ever collected: a key with a
-third of all requests is streamed through one task in bounded memory.
+Plan: requests are range-partitioned by (key, time), so a busy key spreads
+over many partitions however dense its requests are.  Every partition folds
+its sorted rows in Arrow batches with one anchor as state, jumping from miss
+to miss by binary search.  Only a key that goes on from an earlier
+partition may enter with an anchor.  Such a stretch is a function from the
+entering anchor to the leaving one; the functions of a key's stretches are
+composed pairwise in a tree, the real anchors are passed back down it, and
+the stretches concerned are folded again.  What one task gathers is bounded by a
+partition and a key's requests within one TTL.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from citeline.session import written
 
 TTL_HOURS = 6
 
@@ -66,7 +72,7 @@ def _ttl_batches(batches: Iterator[pd.DataFrame], keys: list[str], ts: str, ok:
     for pdf in batches:
         if pdf.empty:
             continue
-        cols = [pdf[k].to_numpy() for k in keys]
+        cols = [pdf[k].astype(object).where(pdf[k].notna(), None).to_numpy() for k in keys]  # null keys are equal
         t = to_micros(pdf[ts])
         good = pdf[ok].to_numpy().astype(bool)
         hit = np.zeros(len(pdf), dtype=bool)
@@ -92,59 +98,141 @@ def _micros(ts: str):
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
 
 
-def gap_segments(df: DataFrame, key: str, ts: str, req_id: str, ttl_us: int,
-                 bucket_us: int = 86_400_000_000) -> DataFrame:
-    """Add ``_seg``: the start time (µs) of the request's gap-free segment.
-
-    A request at least one TTL after the key's previous request meets an
-    expired (or no) anchor — exactly the state of a fresh key — so it starts
-    an independent segment.  Found without a per-key window: requests are
-    windowed per (key, time bucket); per-bucket first/last times and last
-    in-bucket segment start are aggregated; a window over each key's (few)
-    buckets carries the previous bucket's last time and segment start."""
-    us, b = "_us", "_b"
-    d = df.withColumn(us, _micros(ts)).withColumn(b, F.floor(F.col(us) / F.lit(bucket_us)))
-    w = Window.partitionBy(key, b).orderBy(us, req_id)
-    prev = F.lag(us).over(w)
-    d = d.withColumn("_gap", prev.isNotNull() & (F.col(us) - prev >= ttl_us))
-    d = d.withColumn("_seg_in", F.max(F.when(F.col("_gap"), F.col(us))).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    stats = d.groupBy(key, b).agg(F.min(us).alias("_first"), F.max(us).alias("_last"),
-                                  F.max(F.when(F.col("_gap"), F.col(us))).alias("_gs"))
-    wb = Window.partitionBy(key).orderBy(b)
-    prev_last = F.lag("_last").over(wb)
-    stats = stats.withColumn("_gap_first", prev_last.isNull() | (F.col("_first") - prev_last >= ttl_us))
-    stats = stats.withColumn("_bucket_gs", F.coalesce("_gs", F.when(F.col("_gap_first"), F.col("_first"))))
-    stats = stats.withColumn("_carried", F.max("_bucket_gs").over(wb.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.join(stats.select(key, b, "_first", "_gap_first", "_carried"), [key, b])
-    seg = F.coalesce("_seg_in", F.when(F.col("_gap_first"), F.col("_first")), "_carried")
-    return d.withColumn("_seg", seg).drop(us, b, "_gap", "_seg_in", "_first", "_gap_first", "_carried")
+# A stretch as a function: sorted rows (upto, out).  A key whose anchor expires at time e leaves the stretch with the
+# ``out`` of the first row with ``upto`` >= e; SAME: with the anchor it came with; NO_ANCHOR: without one.
+SAME = np.iinfo(np.int64).max
+_TABLE = "key_id long, node long, upto long, out long"
+
+
+def stretch_table(t: np.ndarray, good: np.ndarray, ttl_us: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The function of one stretch with sorted times ``t``; the ``first`` stretch
+    of a key is entered without an anchor only."""
+    n = len(t)
+    if first:
+        out = fold_key(t, good, None, ttl_us)[2]
+        return np.array([SAME]), np.array([NO_ANCHOR if out is None else out])
+    # the next request that writes from i on, and from there the one after its anchor expires
+    success = np.append(np.minimum.accumulate(np.where(good, np.arange(n), n)[::-1])[::-1], n)
+    after = np.append(np.searchsorted(t, t + ttl_us, side="left"), n)
+    last = success.copy()                       # last write of the chain that starts at i, by pointer doubling
+    jump = success[after[np.minimum(success, n)]]
+    jump[success == n] = n
+    while (jump < n).any():
+        last = np.where(jump < n, jump, last)
+        last, jump = np.where(jump < n, last[np.minimum(jump, n)], last), np.where(jump < n, jump[np.minimum(jump, n)], n)
+    outs = np.append(t, NO_ANCHOR)[last[:n]]
+    entered = t[0] + ttl_us                     # an anchor from before the stretch has expired by then
+    m = min(n, int(np.searchsorted(t, entered, side="left")) + 1)
+    upto, outs = t[:m], outs[:m]
+    if t[-1] < entered:                         # it may also outlive the stretch
+        upto, outs = np.append(upto, SAME), np.append(outs, SAME)
+    ends = np.append(outs[1:] != outs[:-1], True)
+    return upto[ends], outs[ends]
+
+
+def compose(inner: tuple[np.ndarray, np.ndarray], outer: tuple[np.ndarray, np.ndarray], ttl_us: int):
+    """The function of a stretch and the one after it."""
+    upto, out = inner
+    known = out != SAME
+    expires = np.where(out == NO_ANCHOR, NO_ANCHOR, np.where(known, out, 0) + ttl_us)
+    at = np.minimum(np.searchsorted(outer[0], expires, side="left"), len(outer[0]) - 1)
+    mapped = np.where(outer[1][at] == SAME, out, outer[1][at])
+    uptos, outs = upto[known], mapped[known]
+    if not known.all():                         # what outlives the first stretch enters the second as it is
+        uptos, outs = np.append(uptos, outer[0]), np.append(outs, outer[1])
+    return uptos, outs
+
+
+def _entering(spanning: DataFrame, tables: DataFrame, ttl_us: int) -> DataFrame:
+    """``(key_id, node, expires)`` per stretch after a key's first: when the anchor
+    that it is entered with expires (NO_ANCHOR: none)."""
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["node", "upto"])
+        sides = [(g["upto"].to_numpy(), g["out"].to_numpy()) for _, g in pdf.groupby("node", sort=True)]
+        upto, out = sides[0] if len(sides) == 1 else compose(sides[0], sides[1], ttl_us)
+        return pd.DataFrame({"key_id": pdf["key_id"].iloc[0], "node": pdf["node"].iloc[0] // 2, "upto": upto, "out": out})
+
+    levels = [tables]
+    widest = spanning.agg(F.max("node")).first()[0] + 1
+    while widest > 2:
+        up = levels[-1].groupBy("key_id", F.floor(F.col("node") / 2).alias("pair")).applyInPandas(pairs, _TABLE)
+        levels.append(written(up, "ttl-level"))
+        widest = -(-widest // 2)
+    state = levels[-1].select("key_id").distinct().select("key_id", F.lit(0).cast("long").alias("node"),
+                                                          F.lit(NO_ANCHOR).alias("expires"))
+    for depth, level in enumerate(reversed(levels)):
+        if depth:  # the root of the tree is its last level's pair; below, nodes double
+            state = state.withColumnRenamed("node", "parent")
+            nodes = level.select("key_id", "node", F.floor(F.col("node") / 2).alias("parent")).distinct()
+            state = nodes.join(state, ["key_id", "parent"]).drop("parent")
+        else:
+            state = level.select("key_id", "node").distinct().join(state.drop("node"), "key_id")
+        known = state.where(F.col("node") % 2 == 0)
+        left = (level.join(known, ["key_id", "node"]).where("upto >= expires")
+                .groupBy("key_id", "node", "expires").agg(F.min_by("out", "upto").alias("out")))
+        leaves = (F.when(F.col("out") == SAME, F.col("expires")).when(F.col("out") == NO_ANCHOR, F.lit(NO_ANCHOR))
+                  .otherwise(F.col("out") + ttl_us))
+        right = state.where(F.col("node") % 2 == 1).drop("expires").join(
+            left.select("key_id", (F.col("node") + 1).alias("node"), leaves.alias("expires")), ["key_id", "node"])
+        state = written(known.unionByName(right.select(*known.columns)), "ttl-entering")
+    return state.where("node > 0")
 
 
 def ttl_hits(requests: DataFrame, key: str, ts: str, req_id: str, ok: str | None = None,
-             ttl_hours: float = TTL_HOURS, partitions: int | None = None,
-             split_at_gaps: bool = True) -> DataFrame:
+             ttl_hours: float = TTL_HOURS, partitions: int | None = None) -> DataFrame:
     """S3: every request with ``hit`` and the ``anchor`` (last write) it saw.
 
-    With ``split_at_gaps`` a key is folded per gap-free segment (see
-    ``gap_segments``), so a hot key spreads over as many tasks as it has
-    TTL-long pauses; only one gap-free stretch is folded by one task."""
+    Requests of a key are taken in order of ``ts``, then ``req_id``; a null key is a key too.
+    ``partitions`` sets the number of ranges (default: Spark's, coalesced by AQE)."""
     df = requests if ok else requests.withColumn("_ok", F.lit(True))
     okc = ok or "_ok"
     ttl_us = int(ttl_hours * 3600 * 1_000_000)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ts_type = dict(df.dtypes)[ts]
-    schema = df.schema.simpleString()[len("struct<"):-1] + f",hit:boolean,anchor:{ts_type}"
-    groups = [key]
-    if split_at_gaps:
-        df = gap_segments(df, key, ts, req_id, ttl_us)
-        groups = [key, "_seg"]
-        schema = df.schema.simpleString()[len("struct<"):-1] + f",hit:boolean,anchor:{ts_type}"
-    ordered = df.repartition(n, *groups).sortWithinPartitions(*groups, ts, req_id)
-    out = ordered.mapInPandas(lambda it: _ttl_batches(it, groups, ts, okc, ttl_us), schema)
-    if split_at_gaps:
-        out = out.drop("_seg")
-    return out.drop("_ok") if not ok else out
+    by = [key, ts, req_id]
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    ranged = ranged.sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"),
+                                                     F.monotonically_increasing_id().alias("_row"))
+    schema = T.StructType([*ranged.schema.fields, T.StructField("hit", T.BooleanType()), T.StructField("anchor", df.schema[ts].dataType)])
+    rows = written(ranged.mapInPandas(lambda it: _ttl_batches(it, [key], ts, okc, ttl_us), schema), "ttl-stretches")
+
+    # a key lies in several partitions only as their first or last key
+    edges = rows.groupBy("_part").agg(F.min_by(F.struct(key), "_row").alias("a"), F.max_by(F.struct(key), "_row").alias("b"))
+    edges = edges.select("_part", F.explode(F.array_distinct(F.array("a", "b"))).alias("k")).select("_part", F.col(f"k.{key}").alias("_key"))
+    same = Window.partitionBy("_key")
+    spanning = written(edges.select(
+        "_part", "_key", F.min("_part").over(same).cast("long").alias("key_id"), F.count(F.lit(1)).over(same).alias("n"),
+        (F.row_number().over(same.orderBy("_part")) - 1).cast("long").alias("node")).where("n > 1").drop("n"), "ttl-spanning")
+    if spanning.limit(1).count() == 0:
+        return _cleared(rows, ok)
+
+    here = F.broadcast(spanning.withColumnRenamed("_part", "_p"))  # two rows a partition at most
+    match = (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key"))
+    mine = rows.join(here, match).drop("_p", "_key")
+    slim = mine.select("key_id", "node", _micros(ts).alias("us"), F.col(okc).alias("ok"), "_row")
+
+    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_row")
+        node = int(pdf["node"].iloc[0])
+        upto, out = stretch_table(pdf["us"].to_numpy(), pdf["ok"].to_numpy().astype(bool), ttl_us, node == 0)
+        return pd.DataFrame({"key_id": pdf["key_id"].iloc[0], "node": node, "upto": upto, "out": out})
+
+    tables = written(slim.groupBy("key_id", "node").applyInPandas(tabulate, _TABLE), "ttl-tables")
+    entering = _entering(spanning, tables, ttl_us)
+
+    def refold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_row")
+        expires = int(pdf["expires"].iloc[0])
+        hit, anchor, _ = fold_key(to_micros(pdf[ts]), pdf[okc].to_numpy().astype(bool),
+                                  None if expires == NO_ANCHOR else expires - ttl_us, ttl_us)
+        return pdf.drop(columns=["key_id", "node", "expires"]).assign(hit=hit, anchor=from_micros(anchor).to_numpy())
+
+    late = mine.join(entering, ["key_id", "node"])
+    again = late.select(*rows.columns, "key_id", "node", "expires").groupBy("key_id", "node").applyInPandas(refold, rows.schema)
+    rest = rows.join(here.where("node > 0"), match, "left_anti")
+    return _cleared(rest.unionByName(again), ok)
+
+
+def _cleared(rows: DataFrame, ok: str | None) -> DataFrame:
+    return rows.drop("_part", "_row", *([] if ok else ["_ok"]))
 
 
 def latest_per_key(writes: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -153,93 +241,3 @@ def latest_per_key(writes: DataFrame, key: str, order: list[str]) -> DataFrame:
     rest = [c for c in writes.columns if c != key]
     best = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order]))
     return writes.groupBy(key).agg(best.alias("_w")).select(key, *[F.col("_w")[c].alias(c) for c in rest])
-
-
-# --- exact TTL for one key across many tasks -------------------------------
-#
-# Buckets are one TTL wide.  An anchor older than the previous bucket is
-# expired for every request of a bucket, so the state entering bucket b is
-# "none" or a successful request of bucket b-1.  Given that state, bucket b
-# is decided: requests before anchor + TTL are hits; from there requests miss
-# until the first successful one (the bucket's exit anchor); everything after
-# it in the bucket is a hit (the bucket is one TTL wide).  Each bucket is thus
-# a small function entering anchor -> exit anchor, tabulated in parallel; the
-# functions are composed by doubling (one null-safe self-join per round), and
-# every bucket then classifies its requests independently.
-
-_TABLE_SCHEMA = "k string, _b long, in_us long, in_rid long, out_us long, out_rid long"
-
-
-def _bucket_table(ttl_us: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["_own"] == 1].sort_values(["_us", "_rid"], kind="stable")
-        if own.empty:
-            return pd.DataFrame(columns=["k", "_b", "in_us", "in_rid", "out_us", "out_rid"])
-        prev = pdf[pdf["_own"] == 0]
-        t = own["_us"].to_numpy()
-        rid = own["_rid"].to_numpy()
-        n = len(t)
-        idx = np.where(own["_ok"].to_numpy().astype(bool), np.arange(n), n)
-        nxt = np.append(np.minimum.accumulate(idx[::-1])[::-1], n)      # first success at or after j
-        ins_us = np.r_[np.nan, prev["_us"].to_numpy().astype(float)]
-        ins_rid = np.r_[np.nan, prev["_rid"].to_numpy().astype(float)]
-        js = np.zeros(len(ins_us), dtype=np.int64)
-        if len(prev):
-            js[1:] = np.searchsorted(t, prev["_us"].to_numpy() + ttl_us, side="left")
-        m = nxt[js]
-        has = m < n
-        out_us = np.where(has, t[np.minimum(m, n - 1)], np.nan)
-        out_rid = np.where(has, rid[np.minimum(m, n - 1)], np.nan)
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "_b": pdf["_b"].iloc[0],
-                             "in_us": pd.array(ins_us, dtype="Int64"), "in_rid": pd.array(ins_rid, dtype="Int64"),
-                             "out_us": pd.array(out_us, dtype="Int64"), "out_rid": pd.array(out_rid, dtype="Int64")})
-    return fn
-
-
-def ttl_hits_bucketed(requests: DataFrame, key: str, ts: str, req_id: str, ok: str,
-                      ttl_hours: float = TTL_HOURS) -> DataFrame:
-    """S3 with no key folded in one task: bucket functions composed by doubling.
-
-    Work per task is bounded by two TTL-wide buckets of one key; the
-    composition takes ceil(log2(buckets per key)) rounds, each cut by a
-    checkpoint in the shared checkpoint folder.  Exact (tested against brute
-    force and the segment fold), but the tabulation is one pandas call per
-    (key, bucket), which dominates when buckets are small: at sf0.1 (about
-    180k buckets) it is far slower than ``ttl_hits``.  Opt-in for inputs
-    whose gap-free stretches are too large for one task."""
-    ttl_us = int(ttl_hours * 3600 * 1_000_000)
-    r = (requests.withColumn("_us", _micros(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(ttl_us)))
-         .withColumn("k", F.col(key).cast("string")))
-    slim = r.select("k", "_b", "_us", F.col(req_id).alias("_rid"), F.col(ok).alias("_ok"))
-    own = slim.withColumn("_own", F.lit(1))
-    prev = (slim.where("_ok").withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(0)))
-    tables = own.unionByName(prev).groupBy("k", "_b").applyInPandas(_bucket_table(ttl_us), _TABLE_SCHEMA)
-    h = tables.withColumn("const", F.lit(False))
-    span = slim.groupBy("k").agg((F.max("_b") - F.min("_b") + 1).alias("n")).agg(F.max("n")).first()[0] or 1
-    s = 1
-    while s < span:
-        p = h.select("k", (F.col("_b") + s).alias("_b"), F.col("in_us").alias("p_in_us"),
-                     F.col("in_rid").alias("p_in_rid"), F.col("out_us").alias("p_out_us"),
-                     F.col("out_rid").alias("p_out_rid"), F.col("const").alias("p_const"))
-        done = h.where("const")
-        todo = h.where(~F.col("const"))
-        # earlier bucket missing: the state there is "none"
-        orphan = (todo.join(p.select("k", "_b").distinct(), ["k", "_b"], "left_anti")
-                  .where(F.col("in_us").isNull()).withColumn("const", F.lit(True)))
-        j = todo.join(p, ["k", "_b"]).where(F.col("in_us").eqNullSafe(F.col("p_out_us"))
-                                             & F.col("in_rid").eqNullSafe(F.col("p_out_rid")))
-        composed = j.select("k", "_b",
-                            F.when(F.col("p_const"), F.lit(None)).otherwise(F.col("p_in_us")).alias("in_us"),
-                            F.when(F.col("p_const"), F.lit(None)).otherwise(F.col("p_in_rid")).alias("in_rid"),
-                            "out_us", "out_rid", F.col("p_const").alias("const"))
-        h = done.unionByName(orphan).unionByName(composed).checkpoint()
-        s *= 2
-    # tables reaching before the key's first bucket are constant; finish the rest at "none"
-    exits = h.where(F.col("const") | F.col("in_us").isNull()).select("k", "_b", "out_us", "out_rid").distinct()
-    entering = exits.select("k", (F.col("_b") + 1).alias("_b"), F.col("out_us").alias("_a_us"))
-    mine = exits.select("k", "_b", F.col("out_us").alias("_m_us"), F.col("out_rid").alias("_m_rid"))
-    x = r.join(entering, ["k", "_b"], "left").join(mine, ["k", "_b"], "left")
-    before = F.col("_a_us").isNotNull() & (F.col("_us") < F.col("_a_us") + F.lit(ttl_us))
-    after = F.col("_m_us").isNotNull() & ((F.col("_us") > F.col("_m_us"))
-                                          | ((F.col("_us") == F.col("_m_us")) & (F.col(req_id) > F.col("_m_rid"))))
-    return x.withColumn("hit", before | after).drop("k", "_b", "_us", "_a_us", "_m_us", "_m_rid")

@@ -4,7 +4,9 @@ import datetime as dt
 import os
 import tempfile
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from citeline.operators import cache as ch
@@ -77,30 +79,6 @@ def test_latest_per_key(spark):
     assert got == {"k": "new", "j": "only"}
 
 
-def test_hot_key_split_at_gaps(spark):
-    rows, t = [], T0
-    for i in range(3000):
-        t += (7 * H if i % 97 == 0 else 13 * 60 * S)         # a 7 h pause every 97 requests
-        rows.append(("hot", t, i, i % 17 != 0))
-    rows += [("cold", T0 + i * 5 * H, 10_000 + i, True) for i in range(40)]
-    df = log(spark, rows)
-    split = hits(ch.ttl_hits(df, "key", "ts", "rid", ok="ok", split_at_gaps=True))
-    whole = hits(ch.ttl_hits(df, "key", "ts", "rid", ok="ok", split_at_gaps=False))
-    assert split == whole
-    segs = ch.gap_segments(df, "key", "ts", "rid", 6 * 3600 * 1_000_000)
-    assert segs.where("key = 'hot'").select("_seg").distinct().count() == 31   # 3000 / 97 pauses, rounded up
-    anchor, want = {}, {}
-    for k, ts, i, ok in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        a = anchor.get(k)
-        if a is not None and ts - a < 6 * H:
-            want[i] = True
-            continue
-        want[i] = False
-        if ok:
-            anchor[k] = ts
-    assert split == want
-
-
 def test_stream_with_watermark_expiry_equals_batch(spark):
     rows = [(f"u{i % 5}", T0 + i * 53 * 60 * S, i, i % 13 != 0) for i in range(450)]
     d = tempfile.mkdtemp(prefix="ttl-wm-", dir="/tmp")
@@ -117,7 +95,7 @@ def test_stream_with_watermark_expiry_equals_batch(spark):
 
 def brute(rows):
     anchor, want = {}, {}
-    for k, ts, i, ok in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for k, ts, i, ok in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
         a = anchor.get(k)
         if a is not None and ts - a < 6 * H:
             want[i] = True
@@ -128,16 +106,64 @@ def brute(rows):
     return want
 
 
-def test_bucketed_ttl_matches_brute_force(spark):
+def adversarial():
+    """Interleaved chains, failure runs, long pauses, and keys that never pause for six hours."""
     rows = [("k", T0, 1, True), ("k", T0 + 6 * H - S, 2, True), ("k", T0 + 6 * H, 3, True),
             ("k", T0 + 11 * H, 4, True), ("k", T0 + 12 * H - S, 5, True), ("k", T0 + 12 * H, 6, True),
             ("j", T0, 7, False), ("j", T0 + S, 8, True), ("j", T0 + 2 * S, 9, True)]
     rows += [("hot", T0 + i * 7 * 60 * S, 100 + i, i % 13 != 0) for i in range(2000)]
-    rows += [("every3h", T0 + i * 3 * H, 5000 + i, True) for i in range(60)]           # interleaved chains
-    rows += [("fails", T0 + i * 20 * 60 * S, 6000 + i, i % 40 > 25) for i in range(300)]  # failure runs
+    rows += [("dense", T0 + i * S, 20_000 + i, i % 5 != 0) for i in range(3000)]        # many stretches within one TTL
+    rows += [("every3h", T0 + i * 3 * H, 5000 + i, True) for i in range(60)]
+    rows += [("fails", T0 + i * 20 * 60 * S, 6000 + i, i % 40 > 25) for i in range(300)]
+    rows += [(None, T0 + i * H, 40_000 + i, True) for i in range(50)]
+    rows += [("never", T0 + i * 60 * S, 50_000 + i, False) for i in range(500)]
     t = T0
     for i in range(1500):
         t += 7 * H if i % 97 == 0 else 13 * 60 * S
         rows.append(("gappy", t, 9000 + i, i % 17 != 0))
-    got = hits(ch.ttl_hits_bucketed(log(spark, rows), "key", "ts", "rid", "ok"))
-    assert got == brute(rows)
+    return rows
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8, 61, 200])
+def test_ttl_over_any_number_of_ranges_matches_brute_force(spark, partitions):
+    rows = adversarial()
+    assert hits(ch.ttl_hits(log(spark, rows), "key", "ts", "rid", ok="ok", partitions=partitions)) == brute(rows)
+
+
+def test_busy_key_spreads_over_many_tasks(spark):
+    rows = [("hot", T0 + i * 7 * 60 * S, i, i % 13 != 0) for i in range(5000)]       # no six-hour pause at all
+    ranged = log(spark, rows).repartitionByRange(16, "key", "ts", "rid")
+    sizes = [r[1] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1000
+    got = ch.ttl_hits(log(spark, rows), "key", "ts", "rid", ok="ok", partitions=16)
+    assert hits(got) == brute(rows)
+
+
+def test_stretch_functions_compose():
+    rng = np.random.default_rng(5)
+    ttl = 100
+    for trial in range(300):
+        n = int(rng.integers(2, 60))
+        t = np.sort(rng.integers(0, int(rng.choice([30, 300, 1500])), n)) + 1000
+        good = rng.random(n) < rng.choice([0.2, 0.9])
+        cuts = sorted(set(rng.integers(1, n, 3).tolist())) + [n]
+        parts, lo = [], 0
+        for hi in cuts:
+            parts.append(ch.stretch_table(t[lo:hi], good[lo:hi], ttl, False))
+            lo = hi
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = ch.compose(whole, part, ttl)
+        for anchor in [None, *range(int(t[0]) - ttl, int(t[0]), 7)]:
+            expires = ch.NO_ANCHOR if anchor is None else anchor + ttl
+            out = whole[1][min(int(np.searchsorted(whole[0], expires)), len(whole[1]) - 1)]
+            want = ch.fold_key(t, good, anchor, ttl)[2]
+            got = anchor if out == ch.SAME else None if out == ch.NO_ANCHOR else int(out)
+            if got is None:      # an expired anchor decides like none
+                assert want is None or want + ttl <= t[-1]
+            else:
+                assert got == want
+
+
+def test_empty_request_table(spark):
+    assert ch.ttl_hits(log(spark, []), "key", "ts", "rid", ok="ok").collect() == []
