@@ -2,9 +2,9 @@
 
 * ``number_within`` — dense 1..n numbering per group (C2 citation numbers,
   C3 local numbers).  A plain ``row_number`` window sends a whole group to
-  one task; here the group is cut into ordered blocks, block sizes are
-  counted with a partial aggregation, block offsets come from a window over
-  the (few) block counts, and rows are numbered inside their block.
+  one task; here a group ordered by one integral column is cut into id ranges, whose sizes are
+  counted with a partial aggregation and whose rows are numbered on their own.  Any
+  other order is numbered over range partitions (``running.numbered``).
 * ``first_seen`` — first row per key by an order (U3, S4): a partial
   aggregation with ``min_by``, so a hot key is combined map-side.
 """
@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeline.operators.running import numbered
+
 DEFAULT_BLOCK = 1 << 16
 
 
@@ -23,21 +25,17 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
                   block_of: str | None = None, block_size: int = DEFAULT_BLOCK) -> DataFrame:
     """Add ``out`` = 1-based position of each row within ``keys`` by ``order``.
 
-    ``order`` must be a total order within a group.  ``block_of`` names the
-    last, integral order column; rows whose leading order columns are equal
-    and whose ``block_of`` values fall into the same ``block_size`` range form
-    one block.  Without ``block_of`` a single window is used.
+    ``order`` must be a total order within a group.  ``block_of`` names the order
+    column if it is the only one and integral: its values are cut into ranges of ``block_size``.
     """
     keys, order = list(keys), list(order)
-    if block_of is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    lead = [c for c in order if c != block_of]
+    if block_of is None or order != [block_of]:
+        return numbered(df, keys, order, out)
     blk = "_blk"
     d = df.withColumn(blk, F.floor(F.col(block_of) / F.lit(block_size)))
-    bkeys = keys + lead + [blk]
+    bkeys = [*keys, blk]
     sizes = d.groupBy(*bkeys).agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(*keys).orderBy(*(lead + [blk])).rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*bkeys, F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*bkeys).orderBy(*order)
     return (d.join(offsets, bkeys)
@@ -55,19 +53,14 @@ def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
             .select(*keys, *[F.col("_r")[c].alias(c) for c in rest]))
 
 
-# Spark plans ``row_number() <= n`` as a partial, pre-shuffle group limit only
-# up to spark.sql.optimizer.windowGroupLimitThreshold (default 1000).
-GROUP_LIMIT_MAX = 1000
-
-
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, out: str = "_rank",
             block_of: str | None = None) -> DataFrame:
     """The first ``n`` rows of every group (rank column ``out`` kept).
 
-    Small ``n``: ``row_number() <= n``, which Spark limits per map task before
-    the shuffle, so a hot group sends at most ``n`` rows per task.  Larger
-    ``n``: block-wise dense numbering (no group in one task), then a filter."""
-    if n <= GROUP_LIMIT_MAX or block_of is None:
+    While Spark's group limit applies (``windowGroupLimitThreshold``), every task
+    sends at most ``n`` rows of a group; beyond it groups are numbered in parallel and filtered."""
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n <= limit or block_of is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= n)
     return number_within(df, keys, order, out, block_of=block_of).where(F.col(out) <= n)

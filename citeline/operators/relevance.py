@@ -5,37 +5,28 @@ Relevance: a section's keywords are its lower-cased title words longer than
 three characters (repeats count again); a source scores one point per
 keyword occurring anywhere in lower(content || title || description).
 
-The containment test is a theta join; done naively it compares every
-keyword with every source text.  Because a keyword has no whitespace, it
-occurs in a text exactly when it occurs inside one whitespace-free token of
-that text, so matching runs on tokens:
-
-1. the distinct tokens of each source (``array_distinct`` per row, narrow);
-2. each token's 4-grams are equi-joined with the keywords' first four
-   characters (a small table, broadcast when AQE measures it small) and the
-   whole keyword is verified at that position — a hash probe per gram, no
-   nested loop, work linear in the text;
-3. (source, keyword) is equi-joined with (section, keyword) on the run and
-   the keyword, with the as-of condition ``source.step <= section.step``,
-   and multiplicities are summed.
-
-``strategy='vocabulary'`` instead matches the corpus-wide distinct tokens
-once and joins (token, keyword) pairs back to the sources; it pays a second
-tokenisation and a shuffle of the vocabulary, and wins only when tokens
-repeat heavily across sources and the pairs table stays small.
+A run's outline is short, its sources are many.  So all sections of a run become one row
+(titles cut into keywords) that meets each of the run's sources once: the
+source's text is tested for the run's distinct keywords and every section that
+sees the source is scored from those found.  Nothing is exploded but the
+scores above zero; they feed a top-10 that Spark limits in every task
+before the shuffle.  The outlines are written and counted, and broadcast when they are few; else both
+sides shuffle, and AQE splits a run with most sources, as the outline side has one row per run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions import text as tx
 from citeline.functions.arrays import ordered_values
-from citeline.operators.ordering import first_n, number_within
+from citeline.operators.ordering import first_n
+from citeline.operators.running import numbered
+from citeline.session import written
 
 KEYWORD_MIN = 3        # keywords are strictly longer than this
-GRAM = KEYWORD_MIN + 1
+BROADCAST_WORDS = 1_000_000  # outlines of at most this many words are broadcast; more meet the sources in a shuffle
 TOP_SOURCES = 10
 SNIPPET = 1000
 BUDGET = 3000
@@ -45,146 +36,114 @@ FALLBACK_SNIPPET = 500
 NO_INFO = "Information non disponible pour cette section."
 
 
-def _words(c):
-    return tx.words(c)
+def keywords(title: str) -> Column:
+    """A title's keywords, repeats kept."""
+    return F.filter(tx.words(F.lower(F.coalesce(F.col(title), F.lit("")))), lambda w: F.length(w) > KEYWORD_MIN)
 
 
-def section_keywords(sections: DataFrame, run: str, sec: str, title: str = "title",
-                     step: str = "step") -> DataFrame:
-    """(run, sec, step, kw, mult): keyword multiplicities of every section."""
-    return (sections.select(run, sec, step, F.explode(_words(F.lower(F.col(title)))).alias("kw"))
-            .where(F.length("kw") > KEYWORD_MIN)
-            .groupBy(run, sec, step, "kw").agg(F.count(F.lit(1)).alias("mult")))
+def outlines(sections: DataFrame, run: str = "research_id", sec: str = "sec_id", title: str = "title") -> DataFrame:
+    """One row per run: ``outline`` (its sections with step and keywords) and the
+    distinct ``keywords`` of all of them."""
+    section = F.struct(F.col(sec).alias("sec"), F.col("step"), keywords(title).alias("words"))
+    return (sections.groupBy(run).agg(F.collect_list(section).alias("outline"))
+            .withColumn("keywords", F.array_distinct(F.flatten(F.col("outline.words")))))
 
 
-CHUNK = 20      # grams are produced 20 start positions at a time
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _token_grams(tokens: DataFrame) -> DataFrame:
-    """Every 4-gram of every token with its 0-based start ``_i``.
+def scored_sources(sections: DataFrame, sources: DataFrame, run: str = "research_id", sec: str = "sec_id",
+                   src: str = "seq", asof: bool = True) -> DataFrame:
+    """(run, sec, src, step, score) of every visible source with a score above
+    zero; ``step`` is the source's.  Row by row after the join on the run."""
+    found = ["content", "title", "description"]
+    body = F.lower(F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in found]))
+    seen = F.filter("outline", lambda o: o["step"] >= F.col("step")) if asof else F.col("outline")
 
-    A token is cut into chunks of 20 start positions (``sequence`` of chunk
-    offsets), and each chunk yields a fixed array of 20 substrings; grams
-    running past the end are dropped.  No lambda is involved, so the whole
-    generation stays in whole-stage code generation, for tokens of any length."""
-    tok = F.col("token")
-    offs = tokens.select("*", F.explode(F.sequence(F.lit(0), F.length(tok) - GRAM, F.lit(CHUNK))).alias("_o"))
-    chunk = F.array(*[tok.substr(F.col("_o") + F.lit(i), F.lit(GRAM)) for i in range(1, CHUNK + 1)])
-    return (offs.select("*", F.posexplode(chunk).alias("_j", "g"))
-            .where(F.length("g") == GRAM)
-            .withColumn("_i", F.col("_o") + F.col("_j")).drop("_o", "_j"))
+    def scores(present: Column) -> Column:
+        def score(o: Column) -> Column:
+            return F.size(F.filter(o["words"], lambda w: F.array_contains(present, w))).cast("long")
+        return F.filter(F.transform(seen, lambda o: F.struct(o["sec"].alias("sec"), score(o).alias("score"))),
+                        lambda x: x["score"] > 0)
 
-
-def _token_keywords(tokens: DataFrame, kws: DataFrame) -> DataFrame:
-    """(…, token, kw) for every keyword inside a token: the token's 4-grams
-    are equi-joined with the keywords' first four characters, then the whole
-    keyword is compared at that position."""
-    grams = _token_grams(tokens)
-    return (grams.join(kws, "g")
-            .where(F.substring(F.col("token"), F.col("_i") + 1, F.length("kw")) == F.col("kw"))
-            .drop("g", "_i"))
-
-
-def source_keywords(sources: DataFrame, keys: list[str], keywords: DataFrame,
-                    text_cols: tuple[str, ...] = ("content", "title", "description"),
-                    strategy: str = "direct") -> DataFrame:
-    """(keys..., kw): every keyword of ``keywords`` contained in each source.
-
-    ``strategy='vocabulary'`` matches keywords against the distinct tokens of
-    the whole corpus once and joins the (token, keyword) pairs back — the
-    matching work grows with the vocabulary; the join back is a broadcast
-    when AQE finds the pairs small at run time.  ``strategy='direct'``
-    matches each source's own distinct tokens — no shuffle before the final
-    distinct, more matching work when tokens repeat across sources.
-    """
-    body = F.lower(F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in text_cols]))
-    kws = keywords.select("kw").distinct().select("kw", F.left("kw", F.lit(GRAM)).alias("g"))
-    src_tok = sources.select(*keys, F.explode(F.array_distinct(_words(body))).alias("token"))
-    # a token shorter than a keyword cannot contain one
-    if strategy == "direct":
-        return (_token_keywords(src_tok.where(F.length("token") >= GRAM), kws)
-                .select(*keys, "kw").distinct())
-    vocab = src_tok.where(F.length("token") >= GRAM).select("token").distinct()
-    token_kw = _token_keywords(vocab, kws).select("token", "kw").distinct()
-    return src_tok.join(token_kw, "token").select(*keys, "kw").distinct()
+    present = _let(body, lambda b: F.filter("keywords", lambda k: F.contains(b, k)))
+    lists = written(outlines(sections, run, sec), "outlines")
+    n_words = lists.agg(F.sum(F.size("keywords") + 2 * F.size(F.flatten("outline.words")))).first()[0] or 0
+    lists = F.broadcast(lists) if n_words <= BROADCAST_WORDS else lists
+    joined = sources.select(run, src, "step", *found).join(lists, run)
+    hits = joined.select(run, src, "step", F.explode(_let(present, scores)).alias("hit"))
+    return hits.select(run, F.col("hit.sec").alias(sec), src, "step", F.col("hit.score").alias("score"))
 
 
 def section_relevance(sections: DataFrame, sources: DataFrame, run: str = "research_id",
-                      sec: str = "sec_id", src: str = "seq", asof: bool = True,
-                      strategy: str = "direct") -> DataFrame:
+                      sec: str = "sec_id", src: str = "seq", asof: bool = True) -> DataFrame:
     """C4+A2+C7: (run, sec, src, score) for every visible source with score > 0.
 
     ``sections``: run, sec, step, title.  ``sources``: run, src, step, content,
     title, description.  With ``asof`` a section only sees sources whose
     ``step`` is at most its own (the registry grows while sections are written).
     """
-    skw = section_keywords(sections, run, sec)
-    s = sources.select(F.col(run), F.col(src), F.col("step").alias("_src_step"), "content", "title", "description")
-    kkw = source_keywords(s, [run, src, "_src_step"], skw, strategy=strategy)
-    cond = [run, "kw"]
-    j = skw.join(kkw, cond)
-    if asof:
-        j = j.where(F.col("_src_step") <= F.col("step"))
-    return j.groupBy(run, sec, src).agg(F.sum("mult").cast("long").alias("score"))
+    return scored_sources(sections, sources, run, sec, src, asof).drop("step")
 
 
 def _block(ci, title, snippet):
     return F.concat(F.lit("["), F.col(ci).cast("string"), F.lit("] "), F.col(title), F.lit("\n"), snippet, F.lit("\n"))
 
 
-def section_context(sections: DataFrame, sources: DataFrame, relevance: DataFrame, run: str = "research_id",
+def snippet_of(sources: DataFrame, chars: int, content: str = "content") -> Column:
+    """The first ``chars`` characters of the content; without content the
+    first entry of ``snippets`` as it is, if there is such a column; else empty."""
+    text = F.coalesce(F.col(content), F.lit(""))
+    other = F.coalesce(F.try_element_at("snippets", F.lit(1)), F.lit("")) if "snippets" in sources.columns else F.lit("")
+    return F.when(text != "", F.left(text, F.lit(chars))).otherwise(other)
+
+
+def section_context(sections: DataFrame, sources: DataFrame, run: str = "research_id",
                     sec: str = "sec_id", src: str = "seq", asof: bool = True) -> DataFrame:
     """C5+B2+C6: (run, sec, context) for every section.
 
     Top 10 sources by score (ties: arrival order), snippets of 1000
-    characters; empty snippets use a slot but no budget; blocks are taken
+    characters (see ``snippet_of``); empty snippets use a slot but no budget; blocks are taken
     while the characters taken before stay within 3000 (the crossing block is
     kept).  With nothing selected: the first five visible sources (500
-    characters, non-empty), else a fixed sentence.
+    characters of content, non-empty), else a fixed sentence.
 
-    ``sources`` carry citation numbers dense per run in arrival order
-    (``step``, ``src``), as ``register_sources`` / ``number_within`` give;
-    without a ``citation_index`` column they are numbered here, on the key
-    columns only.
+    ``sources`` arrive in order of (``step``, ``src``).  Citation numbers dense per
+    run in that order are read from ``citation_index`` if there, else numbered here on the key
+    columns.  Texts are read twice: for scoring, and for the few sources that a section may cite.
     """
-    if "citation_index" in sources.columns:
-        numbers = sources.select(run, src, "step", "citation_index")
-    else:   # number on the narrow key columns only
-        numbers = number_within(sources.select(run, src, "step"), [run], ["step", src], "citation_index",
-                                block_of=src)
-    text = sources.select(run, src, "title", "content")
-    order = [F.col("score").desc(), F.col("step"), F.col(src)]
-    # rank on (score, arrival) with the narrow columns only; text is attached
-    # to the <= 10 survivors per section, not to every scored pair
-    ranked = (relevance.join(numbers, [run, src])
-              .withColumn("_rk", F.row_number().over(Window.partitionBy(run, sec).orderBy(*order)))
-              .where(F.col("_rk") <= TOP_SOURCES)
-              .join(text, [run, src])
-              .withColumn("_snip", F.left("content", F.lit(SNIPPET)))
-              .where(F.length("_snip") > 0))
-    before = F.coalesce(F.sum(F.length("_snip")).over(
-        Window.partitionBy(run, sec).orderBy("_rk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = ranked.withColumn("_before", before).where(F.col("_before") <= BUDGET)
-    selected = chosen.groupBy(run, sec).agg(F.array_join(ordered_values(F.collect_list(
-        F.struct(F.col("_rk"), _block("citation_index", "title", F.col("_snip")).alias("b"))), "b"), "\n")
-        .alias("_sel"))
-
-    # citation numbers are dense in arrival order, so the first five sources
-    # of a run are simply numbers 1..5: a filter, no window
-    first = (numbers.where(F.col("citation_index") <= FALLBACK_SOURCES).join(text, [run, src])
-             .withColumn("_k", F.col("citation_index"))
-             .withColumn("_snip", F.left("content", F.lit(FALLBACK_SNIPPET)))
-             .where(F.length("_snip") > 0)
-             .select(run, F.col("step").alias("_src_step"), "_k", _block("citation_index", "title", F.col("_snip"))
-                     .alias("b")))
-    fb = sections.select(run, sec, "step").join(first, run)
+    by = Window.partitionBy(run, sec).orderBy(F.desc("score"), "step", src)
+    top = (scored_sources(sections, sources, run, sec, src, asof).withColumn("_rk", F.row_number().over(by))
+           .where(F.col("_rk") <= TOP_SOURCES).select(run, sec, src, "_rk"))
+    arrival = sources.select(run, src, "step")
+    first = (arrival.withColumn("_k", F.row_number().over(Window.partitionBy(run).orderBy("step", src)))
+             .where(F.col("_k") <= FALLBACK_SOURCES))
+    spare = sections.select(run, sec, F.col("step").alias("_at")).join(first, run)
     if asof:
-        fb = fb.where(F.col("_src_step") <= F.col("step"))
-    fallback = fb.groupBy(run, sec).agg(F.array_join(ordered_values(F.collect_list(
-        F.struct(F.col("_k"), F.col("b"))), "b"), "\n").alias("_fb"))
-
-    return (sections.select(run, sec).join(selected, [run, sec], "left").join(fallback, [run, sec], "left")
-            .select(run, sec, F.coalesce("_sel", "_fb", F.lit(NO_INFO)).alias("context")))
+        spare = spare.where(F.col("step") <= F.col("_at"))
+    wanted = top.unionByName(spare.select(run, sec, src, (F.col("_k") + TOP_SOURCES).alias("_rk")))
+
+    numbers = (sources.select(run, src, "citation_index") if "citation_index" in sources.columns
+               else numbered(arrival, [run], ["step", src], "citation_index").drop("step"))
+    text = sources.select(run, src, "title", snippet_of(sources, SNIPPET).alias("_long"),
+                          F.left(F.coalesce("content", F.lit("")), F.lit(FALLBACK_SNIPPET)).alias("_short"))
+    cited = (wanted.join(numbers, [run, src]).join(text, [run, src])
+             .withColumn("_snip", F.when(F.col("_rk") <= TOP_SOURCES, F.col("_long")).otherwise(F.col("_short")))
+             .where(F.length("_snip") > 0))
+    # ten and five rows a section at most; the budget starts anew for the spare ones, which never reach it
+    before = F.coalesce(F.sum(F.when(F.col("_rk") <= TOP_SOURCES, F.length("_snip")).otherwise(F.lit(0))).over(
+        Window.partitionBy(run, sec).orderBy("_rk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = cited.withColumn("_before", before).where((F.col("_before") <= BUDGET) | (F.col("_rk") > TOP_SOURCES))
+    block = F.struct(F.col("_rk"), _block("citation_index", "title", F.col("_snip")).alias("b"))
+    joined = lambda rows: F.array_join(ordered_values(rows, "b"), "\n")
+    texts = kept.groupBy(run, sec).agg(
+        F.collect_list(F.when(F.col("_rk") <= TOP_SOURCES, block)).alias("_sel"),
+        F.collect_list(F.when(F.col("_rk") > TOP_SOURCES, block)).alias("_fb"))
+    context = F.when(F.size("_sel") > 0, joined(F.col("_sel"))).when(F.size("_fb") > 0, joined(F.col("_fb")))
+    return (sections.select(run, sec).join(texts, [run, sec], "left")
+            .select(run, sec, F.coalesce(context, F.lit(NO_INFO)).alias("context")))
 
 
 def assemble_sections(sections: DataFrame, run: str, order: str, title: str, body: str,

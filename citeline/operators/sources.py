@@ -57,10 +57,11 @@ def register_sources(requests: DataFrame, corpus: DataFrame, run: str = "researc
     citation numbers are dense over the successful sources in arrival order.
     """
     first = first_seen(requests.select(run, *order, url), [run, url], list(order))
-    fetched = first.join(corpus.select(url, body), url)
-    ext = extract_pages(fetched, body, max_chars).drop(body)
-    ext = ext.withColumn("snippets", F.array(F.left(F.col("content"), F.lit(SNIPPET))))
-    return number_within(ext, [run], list(order), "citation_index", block_of=order[-1])
+    asked = corpus.select(url, body).join(first.select(url).distinct(), url, "left_semi")
+    numbers = number_within(first.join(asked.select(url).distinct(), url, "left_semi"), [run], list(order), "citation_index")
+    pages = numbers.join(first_seen(asked, [url], [body]), url)  # a URL twice in the corpus is one source
+    ext = extract_pages(pages, body, max_chars).drop(body)
+    return ext.withColumn("snippets", F.array(F.left(F.col("content"), F.lit(SNIPPET))))
 
 
 def source_list(sources: DataFrame, run: str = "research_id") -> DataFrame:

@@ -111,13 +111,12 @@ def run_prompts(spark, base):
 
 @query("section_drafts", f"""
 WITH ctx AS ({ORACLE['section_context']}), sec AS ({rs.SQL_SECTIONS})
-SELECT left(string_agg('## ' || sec.title || chr(10) || chr(10) || ctx.context, chr(10) || chr(10)
+SELECT sec.research_id, left(string_agg('## ' || sec.title || chr(10) || chr(10) || ctx.context, chr(10) || chr(10)
                        ORDER BY sec.item_id), {SECTIONS_MAX}) AS sections_text
-FROM sec JOIN ctx ON ctx.sec_id = sec.item_id""")
+FROM sec JOIN ctx ON ctx.sec_id = sec.item_id GROUP BY sec.research_id""")
 def section_drafts(spark, base):
-    """SEC + A3 + C13: sections assembled in outline order, cut to the 8000
+    """SEC + A3 + C13: every run's sections assembled in outline order, cut to the 8000
     characters handed to the synthesis prompt."""
-    secs, srcs = rs.corpus_sections(spark, base), rs.corpus_sources(spark, base, numbered=False)
-    ctx = rv.section_context(secs, srcs, rv.section_relevance(secs, srcs))
-    d = secs.join(ctx, ["research_id", "sec_id"])
-    return rv.assemble_sections(d, "research_id", "sec_id", "title", "context", SECTIONS_MAX).drop("research_id")
+    secs = rs.corpus_sections(spark, base)
+    d = secs.join(rv.section_context(secs, rs.corpus_sources(spark, base)), ["research_id", "sec_id"])
+    return rv.assemble_sections(d, "research_id", "sec_id", "title", "context", SECTIONS_MAX)

@@ -46,9 +46,9 @@ def research_tables(persona_text: DataFrame, turns: DataFrame, search_text: Data
                 .select(RUN, F.col("sec_no").alias("sec_id"), F.col("sec_no").alias("step"), "level", "title"))
     # the citation number is unique per run; a step's request numbers are not
     registry = sources.select(RUN, F.col("citation_index").cast("long").alias("seq"), "step", "citation_index",
-                              "title", "description", "content")
+                              "title", "description", "content", "snippets")
     relevance = rv.section_relevance(sections, registry)
-    context = rv.section_context(sections, registry, relevance)
+    context = rv.section_context(sections, registry)
     stats = rp.run_stats(questions.select(RUN), RUN, personas=personas, dialogues=personas,
                          sections=sections, total_sources=sources, total_findings=found)
     summary = dl.first_findings(found, RUN, ["persona_no", "turn_no", "pos"], 10, "report")

@@ -38,10 +38,17 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_numbering_and_windows_never_single_partition(spark):
-    """A single-partition exchange may only carry aggregated rows (a global
-    max, or per-block counts of the numbering), never the rows themselves."""
-    for name in ("page_sources", "source_citations", "section_context", "context_compress", "conv_turns"):
+    """A single-partition exchange may only carry rows that a global aggregate has combined in
+    every task already, never the rows themselves nor one row per block."""
+    for name in ("page_sources", "source_citations", "section_context", "section_drafts", "context_compress", "conv_turns"):
         lines = plan(spark, name).split("\n")
         for i, line in enumerate(lines):
             if "Exchange SinglePartition" in line:
-                assert "HashAggregate(" in lines[i + 1], (name, line)
+                assert "HashAggregate(keys=[]" in lines[i + 1], (name, line, lines[i + 1])
+
+
+def test_relevance_neither_explodes_texts_nor_shuffles_pairs(spark):
+    """Keywords meet whole texts; before the top-10 is limited in each task nothing is exchanged."""
+    p = plan(spark, "section_context")
+    assert "WindowGroupLimit" in p and "Partial" in p
+    assert plan(spark, "section_relevance").count("Generate explode") == 1

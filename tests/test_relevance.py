@@ -41,22 +41,19 @@ def brute_scores(srcs, secs):
     return out
 
 
-import pytest
-
-
-@pytest.mark.parametrize("strategy", ["direct", "vocabulary"])
-def test_relevance_matches_brute_force(spark, strategy):
+def test_relevance_matches_brute_force(spark):
     srcs, secs, src_df, sec_df = fixture(spark)
     got = {(r.sec_id, r.seq): r.score
-           for r in rv.section_relevance(sec_df, src_df, strategy=strategy).collect()}
+           for r in rv.section_relevance(sec_df, src_df).collect()}
     assert got == brute_scores(srcs, secs)
     assert got  # the fixture produces matches
 
 
 def test_context_matches_brute_force(spark):
     srcs, secs, src_df, sec_df = fixture(spark)
-    rel = rv.section_relevance(sec_df, src_df)
-    got = {r.sec_id: r.context for r in rv.section_context(sec_df, src_df, rel).collect()}
+    got = {r.sec_id: r.context for r in rv.section_context(sec_df, src_df).collect()}
+    renumbered = rv.section_context(sec_df, src_df.drop("citation_index"))
+    assert got == {r.sec_id: r.context for r in renumbered.collect()}
     scores = brute_scores(srcs, secs)
     by_seq = {s[1]: s for s in srcs}
     want = {}
@@ -99,13 +96,29 @@ def test_assemble_sections_prefix(spark):
     assert out == full[:8000]
 
 
-@pytest.mark.parametrize("strategy", ["direct", "vocabulary"])
-def test_keywords_inside_long_tokens(spark, strategy):
+def test_keywords_inside_long_tokens(spark):
     long_token = "x" * 25 + "OCEAN" + "y" * 40 + "heat"          # 74 characters, one token
     src = spark.createDataFrame([("r", 1, 0, 1, "", "", long_token), ("r", 2, 0, 2, "", "", "oce an")],
                                 "research_id string, seq long, step long, citation_index long, title string, "
                                 "description string, content string")
     sec = spark.createDataFrame([("r", 1, 0, "ocean heat yyyyyyyy xxxo")],
                                 "research_id string, sec_id long, step long, title string")
-    got = {r.seq: r.score for r in rv.section_relevance(sec, src, strategy=strategy).collect()}
+    got = {r.seq: r.score for r in rv.section_relevance(sec, src).collect()}
     assert got == {1: 4}
+
+
+def test_context_takes_the_first_snippet_of_an_empty_source(spark):
+    src = spark.createDataFrame([("r", 1, 0, "ocean", "", "", ["first " + "x" * 1200, "second"]), ("r", 2, 0, "ocean", "", None, []),
+                                 ("r", 3, 1, "ocean", "", "text", ["unused"])],
+                                "research_id string, seq long, step long, title string, description string, content string, "
+                                "snippets array<string>")
+    sec = spark.createDataFrame([("r", 1, 1, "the ocean")], "research_id string, sec_id long, step long, title string")
+    got = rv.section_context(sec, src).first().context
+    assert got == "[1] ocean\nfirst " + "x" * 1200 + "\n\n[3] ocean\ntext\n"
+
+
+def test_context_of_empty_tables(spark):
+    schema = "research_id string, seq long, step long, title string, description string, content string"
+    sec = spark.createDataFrame([("r", 1, 1, None)], "research_id string, sec_id long, step long, title string")
+    assert [r.context for r in rv.section_context(sec, spark.createDataFrame([], schema)).collect()] == [rv.NO_INFO]
+    assert rv.section_context(sec.where("false"), spark.createDataFrame([("r", 1, 0, "t", "d", "c")], schema)).collect() == []

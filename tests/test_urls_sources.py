@@ -86,9 +86,12 @@ def test_plan_requests_then_registry(spark):
     assert [(r.citation_index, r.url) for r in reg] == [(1, "http://b"), (2, "http://a"), (3, "http://c")]
 
 
+from citeline.operators.sources import register_sources  # noqa: E402
+
+
 def test_first_n_above_group_limit_threshold(spark):
-    from citeline.operators.ordering import GROUP_LIMIT_MAX, first_n
-    n = GROUP_LIMIT_MAX + 200
+    from citeline.operators.ordering import first_n
+    n = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) + 200
     df = spark.createDataFrame([("a", i) for i in range(3000)] + [("b", i) for i in range(10)],
                                "k string, seq long")
     got = first_n(df, ["k"], ["seq"], n, block_of="seq")
@@ -103,3 +106,35 @@ def test_spread_only_when_few_splits(spark):
     many = spark.range(100).repartition(16)
     assert spread(one).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spread(many).rdd.getNumPartitions() == 16
+
+
+def test_numbering_by_any_order_reads_one_range_shuffle(spark):
+    """A group with most rows spreads over the ranges; numbers are dense, null keys are a group."""
+    from citeline.operators.running import numbered, running_totals
+    rows = [("hot" if i % 10 else None, (i * 7919) % 5003, i % 3, i % 5 or None) for i in range(5003)]
+    df = spark.createDataFrame(rows, "k string, a long, b long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbered(df, ["k"], [F.desc("a"), "b"], "n").collect()
+        sums = running_totals(df, ["k"], ["b", "a"], {"total": "v", "rows": F.lit(1)}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, total = {}, {}
+    for key in ("hot", None):
+        mine = [r for r in rows if r[0] == key]
+        want.update({(key, r[1]): i + 1 for i, r in enumerate(sorted(mine, key=lambda r: (-r[1], r[2])))})
+        run = 0
+        for i, r in enumerate(sorted(mine, key=lambda r: (r[2], r[1]))):
+            run += r[3] or 0
+            total[(key, r[1])] = (run, i + 1)
+    assert {(r.k, r.a): r.n for r in got} == want
+    assert {(r.k, r.a): (r.total, r.rows) for r in sums} == total
+
+
+def test_url_twice_in_the_corpus_is_one_citation(spark):
+    corpus = spark.createDataFrame([("u1", "<title>a</title>x"), ("u1", "<title>b</title>y"), ("u2", "<title>c</title>z"),
+                                    ("u2", "<title>c</title>z")], "url string, html string")
+    req = spark.createDataFrame([("r", 0, 0, "u2"), ("r", 0, 1, "gone"), ("r", 1, 0, "u1"), ("r", 1, 1, "u2")],
+                                "research_id string, step long, seq long, url string")
+    got = sorted((r.citation_index, r.url, r.title) for r in register_sources(req, corpus).collect())
+    assert got == [(1, "u2", "c"), (2, "u1", "a")]
