@@ -45,14 +45,13 @@ def with_main_content(df: DataFrame, html: str = "html", out: str = "content",
     """Main content of each page.
 
     ``mode='compat'`` reproduces the reference exactly (see above).
-    ``mode='paragraphs'`` runs the full split/score/top-30/budget pipeline on
-    the cleaned text with the reference's blank-line separator; it returns
-    the same result and exists so both forms can be tested against each other.
+    ``mode='blocks'`` keeps the page's blocks apart (``block_text``), so
+    paragraphs are split, scored, ranked and cut by the budget.
     """
+    if mode == "blocks":
+        return df.withColumn(out, main_content_expr(tx.block_text(F.col(html)), sep="\n\n", max_chars=max_chars))
     clean = F.col(clean_col) if clean_col else tx.clean_text(F.col(html))
-    if mode == "compat":
-        return df.withColumn(out, main_content_compat(clean, max_chars))
-    return df.withColumn(out, main_content_expr(clean, sep="\n\n", max_chars=max_chars))
+    return df.withColumn(out, main_content_compat(clean, max_chars))
 
 
 def extract_pages(df: DataFrame, html: str = "html", max_chars: int = 15000) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from citeline.functions import text as tx
 
 URL_TRAIL = "[.,;:]+$"
-ANCHOR = tx.java_flags("is") + "<a\\b[^>]*>.*?</a>"
-OPEN_TAG = tx.java_flags("is") + "^<a\\b[^>]*>"
-INNER = tx.java_flags("is") + "^<a\\b[^>]*>(.*)</a>$"
-HREF = tx.java_flags("i") + "\\bhref" + tx.WS + "*=" + tx.WS + "*[\"']([^\"']*)[\"']"
-CLASS = tx.java_flags("i") + "\\bclass" + tx.WS + "*=" + tx.WS + "*[\"']([^\"']*)[\"']"
+# A tag's inside: quoted values may hold '>' and quotes of the other kind.
+_INSIDE = "(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
+ANCHOR = tx.java_flags("is") + "<a(?:" + tx.WS + _INSIDE + ")?>.*?</a>"
+OPEN_TAG = tx.java_flags("is") + "^<a(?:" + tx.WS + _INSIDE + ")?>"
+INNER = tx.java_flags("is") + "^<a(?:" + tx.WS + _INSIDE + ")?>(.*)</a>$"
+# One attribute after another, values in either quote or bare; a name is taken whole, so data-href is not href.
+ATTRIBUTE = ("[^=/\"'<>" + tx.WS[1:-1] + "]+(?:" + tx.WS + "*=" + tx.WS + "*(?:\"[^\"]*\"|'[^']*'|[^\"'>" + tx.WS[1:-1] + "]+))?")
 # The search page address, its result-link class and the count read.
 SEARCH_BASE = "https://html.duckduckgo.com/html/?q="
 RESULT_CLASS = "result__a"
@@ -32,23 +34,35 @@ def search_url(query: Column, base: str = SEARCH_BASE) -> Column:
     return F.concat(F.lit(base), F.replace(query, F.lit(" "), F.lit("+")))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an opening tag's first attribute ``name``, entities decoded; empty
+    if it has none."""
+    inside = F.regexp_replace(tag, "^<[^" + tx.WS[1:-1] + "/>]*|/?>$", "")
+    own = F.filter(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), 0),
+                   lambda x: F.lower(F.regexp_extract(x, "^[^=" + tx.WS[1:-1] + "]+", 0)) == name)
+    value = F.regexp_replace(F.try_element_at(own, F.lit(1)), "^[^=]*(?:=" + tx.WS + "*|$)", "")
+    bare = F.regexp_replace(value, "^\"([^\"]*)\"$|^'([^']*)'$", "$1$2")
+    return tx.py_strip(F.coalesce(tx.unescape(bare), F.lit("")))
+
+
 def link_text(anchor: Column) -> Column:
     """Text of an element with every text fragment stripped, joined without
     separator (``get_text(strip=True)``)."""
     frags = F.split(F.regexp_extract(anchor, INNER, 1), "<[^>]*>", -1)
-    return F.array_join(F.filter(F.transform(frags, tx.py_strip), lambda s: s != ""), "")
+    return F.array_join(F.filter(F.transform(frags, lambda f: tx.py_strip(tx.unescape(f))), lambda s: s != ""), "")
 
 
 def extract_links(df: DataFrame, html: str, keys: list[str], n: int = RESULTS,
                   css_class: str | None = RESULT_CLASS, require_http: bool = True) -> DataFrame:
     """The first ``n`` links (of class ``css_class``) of each page, then
-    only those whose href starts with 'http' (the limit comes first)."""
-    anchors = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 0)
+    only those whose href starts with 'http' (the limit comes first).  Row by row on the JVM;
+    ``select_links`` takes the class on elements of any name."""
+    found = F.transform(F.regexp_extract_all(F.col(html), F.lit(ANCHOR), 0),
+                        lambda a: F.struct(a.alias("a"), F.regexp_extract(a, OPEN_TAG, 0).alias("tag")))
     if css_class:
-        anchors = F.filter(anchors, lambda a: F.array_contains(
-            F.split(F.regexp_extract(F.regexp_extract(a, OPEN_TAG, 0), CLASS, 1), tx.WS + "+"), css_class))
-    links = F.transform(F.slice(anchors, 1, n), lambda a: F.struct(
-        F.regexp_extract(F.regexp_extract(a, OPEN_TAG, 0), HREF, 1).alias("url"), link_text(a).alias("title")))
+        found = F.filter(found, lambda x: F.array_contains(F.split(attribute(x["tag"], "class"), tx.WS + "+"), css_class))
+    links = F.transform(F.slice(found, 1, n), lambda x: F.struct(
+        attribute(x["tag"], "href").alias("url"), link_text(x["a"]).alias("title")))
     out = (df.select(*keys, F.posexplode(links).alias("pos", "l"))
            .select(*keys, F.col("pos").cast("long").alias("pos"), "l.url", "l.title",
                    (F.col("l.url").startswith("http")).alias("is_http")))

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from citeline.functions import text as tx
 from citeline.operators import pages as pg
+from citeline.operators import paragraphs as para
 from citeline.operators.ordering import number_within
 from citeline.plans import sqltext as sq
 from citeline.plans.registry import query
 from citeline.sources.tables import read_table, spread
 
 SOURCE_CONTENT_MAX = 5000   # the researcher extracts page content with this budget
+BLOCKS_MAX = 1500           # a budget that most pages exceed
 
 
 def site_col(url: str = "url"):
@@ -45,6 +47,36 @@ def page_main_content(spark, base):
             .drop("html"))
 
 
+SQL_BLOCKS = f"""
+WITH kept AS ({sq.paragraphs_cte("(SELECT page_id, " + sq.blocks("html") + " AS t FROM pages)", "page_id", "t", sq.NL + " || " + sq.NL)}),
+ranked AS (SELECT page_id, pos, p, {sq.score('p')} AS score,
+                  row_number() OVER (PARTITION BY page_id ORDER BY {sq.score('p')} DESC, pos) AS rnk FROM kept),
+top AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY page_id ORDER BY rnk
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM ranked WHERE rnk <= 30)
+SELECT page_id, rnk::BIGINT AS rank, pos::BIGINT AS pos, score::BIGINT AS score,
+       left(p, ({BLOCKS_MAX} - before)::BIGINT) AS piece
+FROM top WHERE before <= {BLOCKS_MAX}"""
+
+
+@query("page_blocks_top", SQL_BLOCKS)
+def page_blocks_top(spark, base):
+    """T12 by blocks: T8+T9+T10+B1 on the page's blocks of text."""
+    blocks = load_pages(spark, base, "page_id", "html").select("page_id", tx.block_text(F.col("html")).alias("blocks"))
+    out = para.top_paragraphs(blocks, "page_id", "blocks", "\n\n", BLOCKS_MAX)
+    return out.select("page_id", *[F.col(c).cast("long") for c in ("rank", "pos", "score")], "piece")
+
+
+@query("page_blocks_content", f"""
+WITH pieces AS ({SQL_BLOCKS})
+SELECT p.page_id, coalesce(string_agg(piece, chr(10) || chr(10) ORDER BY rank), '') AS content
+FROM pages p LEFT JOIN pieces USING (page_id) GROUP BY p.page_id""")
+def page_blocks_content(spark, base):
+    """T12 by blocks: the page's main content as one text."""
+    pages = load_pages(spark, base, "page_id", "html")
+    return pg.with_main_content(pages, max_chars=BLOCKS_MAX, mode="blocks").drop("html")
+
+
 @query("page_sources", f"""
 SELECT {sq.site('url')} AS research_id,
        (row_number() OVER (PARTITION BY {sq.site('url')} ORDER BY page_id))::BIGINT AS citation_index,

@@ -28,6 +28,19 @@ def clean(x: str) -> str:
     return f"trim({t})"
 
 
+def blocks(x: str) -> str:
+    t = f"translate({x}, chr(1), ' ')"
+    for name in ("comment", "style", "script"):
+        t = f"regexp_replace({t}, {lit(R[name])}, ' ', 'g')"
+    t = f"regexp_replace({t}, {lit(R['block_tag'])}, chr(1), 'g')"
+    t = f"regexp_replace({t}, {lit(R['tag'])}, ' ', 'g')"
+    for ent, ch in ENTITIES:
+        t = f"replace({t}, {lit(ent)}, {lit(ch)})"
+    t = f"regexp_replace({t}, {lit(R['numeric_entity'])}, ' ', 'g')"
+    t = f"regexp_replace({t}, {lit(R['ws_run'])}, ' ', 'g')"
+    return f"trim(regexp_replace({t}, {lit(R['block_edge'])}, chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
 def title(h: str) -> str:
     inner = f"regexp_extract({h}, {lit(R['title'])}, 1)"
     t = f"left({clean(inner)}, {TITLE_MAX})"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from citeline.operators import sources as so
 from citeline.operators import urls as ur
+from citeline.operators.elements import select_links
 from citeline.operators.context import format_results
 from citeline.plans import sqltext as sq
 from citeline.plans.pages import SOURCE_CONTENT_MAX, load_pages, site_col
@@ -65,7 +66,18 @@ def text_urls(spark, base):
 _A = sq.lit(ur.ANCHOR.replace("(?isu)", "(?is)"))
 _OPEN = sq.lit(ur.OPEN_TAG.replace("(?isu)", "(?is)"))
 _INNER = sq.lit(ur.INNER.replace("(?isu)", "(?is)"))
-_HREF = sq.lit(ur.HREF.replace("(?iu)", "(?i)"))
+_HREF = sq.lit("(?i)[" + sq.R["ws_run"][1:-2] + "]href=[\"']([^\"']*)[\"']")
+
+
+def _plain(x: str) -> str:
+    """The cleaner's entities and the apostrophe decoded, in SQL."""
+    for ent, ch in (("&nbsp;", "chr(160)"), ("&#39;", "chr(39)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{ent}', {ch})"
+    return x
+
+
+_FRAG = sq.strip(_plain("frag"))
+_URL = _plain(f"regexp_extract(regexp_extract(any_value(a), {_OPEN}), {_HREF}, 1)")
 
 
 @query("page_links", f"""
@@ -74,9 +86,9 @@ WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, {_A})) AS a,
 f AS (SELECT page_id, pos, a, unnest(string_split_regex(regexp_extract(a, {_INNER}, 1), '<[^>]*>')) AS frag,
              generate_subscripts(string_split_regex(regexp_extract(a, {_INNER}, 1), '<[^>]*>'), 1) AS j
       FROM a WHERE pos < {ur.RESULTS})
-SELECT page_id, pos::BIGINT AS pos, regexp_extract(regexp_extract(any_value(a), {_OPEN}), {_HREF}, 1) AS url,
-       coalesce(string_agg({sq.strip('frag')}, '' ORDER BY j) FILTER (WHERE {sq.strip('frag')} <> ''), '') AS title,
-       starts_with(regexp_extract(regexp_extract(any_value(a), {_OPEN}), {_HREF}, 1), 'http') AS is_http
+SELECT page_id, pos::BIGINT AS pos, {_URL} AS url,
+       coalesce(string_agg({_FRAG}, '' ORDER BY j) FILTER (WHERE {_FRAG} <> ''), '') AS title,
+       starts_with({_URL}, 'http') AS is_http
 FROM f GROUP BY page_id, pos""")
 def page_links(spark, base):
     """First five links of every page (no class filter: the corpus pages
@@ -85,6 +97,30 @@ def page_links(spark, base):
                             css_class=None, require_http=False)
 
 
+def result_page():
+    """Stand-in results page: a list of results in several markups before the page itself."""
+    u = F.col("url")
+    return F.concat(
+        F.lit('<div class="results"><a data-href="#" title="x href=y" class="result__a" href="'), u, F.lit('?a=1&amp;b=2"> <b>'),
+        site_col(), F.lit("</b> one</a><SPAN CLASS='big result__a' href='"), u,
+        F.lit("#2'>two <span>in</span>ner<br>x</SPAN> after<a class=result__a href=/relative>rel</a><a class=\"result__abc\" "
+              'href="https://no">no</a><p class="x result__a">no href</p><a href='), u,
+        F.lit(' class="result__a" data-class="z">fi&lt;ve</a><a class="result__a" href="'), u, F.lit('/6">six</a></div>'),
+        F.coalesce("html", F.lit("")))
+
+
+@query("result_links", f"""
+WITH p AS (SELECT page_id, url, {sq.site('url')} AS site FROM pages WHERE url IS NOT NULL)
+SELECT * FROM (SELECT page_id, 0::BIGINT AS pos, url || '?a=1&b=2' AS url, site || 'one' AS title FROM p
+               UNION ALL SELECT page_id, 1, url || '#2', 'twoinnerx' FROM p
+               UNION ALL SELECT page_id, 4, url, 'fi<ve' FROM p) WHERE starts_with(url, 'http')""")
+def result_links(spark, base):
+    """S7 on result pages: of the first five elements of the result class (any element, any
+    quoting, nested tags) those with an http address."""
+    pages = load_pages(spark, base, "page_id", "url", "html").where("url is not null")
+    return select_links(pages.select("page_id", result_page().alias("html")), "html", ["page_id"])
+
+
 @query("fetch_batch_status", f"""
 WITH d AS (SELECT DISTINCT url FROM ({SQL_REQUESTS}))
 SELECT d.url, p.html IS NOT NULL AS ok, coalesce(p.html, {sq.lit(so.ERROR_TEXT)}) AS content

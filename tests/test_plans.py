@@ -6,7 +6,7 @@ import pytest
 from citeline.plans.catalog import QUERIES
 from paths import SF_SMALL
 
-PYTHON_OK = {"cache_ttl", "cache_ttl_stream"}     # the TTL fold is the one pandas operator
+PYTHON_OK = {"cache_ttl", "cache_ttl_stream", "result_links"}     # the TTL fold and the HTML tokenizer
 NO_SHUFFLE = {"page_clean_text", "page_metadata", "page_main_content", "doc_paragraph_score",
               "doc_top_paragraphs", "doc_main_content", "list_items", "outline_sections", "text_urls",
               "page_links", "search_urls", "cache_keys"}

@@ -74,3 +74,20 @@ def test_tree(spark):
                                                       "children": []}
     assert [c["name"] for c in trees[1]["children"]] == ["a", "b"]
     assert trees[5]["children"] == []
+
+
+def test_deep_chain_cycle_and_orphan(spark):
+    n = 10_000
+    rows = [(i, i - 1 if i else None, "x", [1, 1], "") for i in range(n)]                     # one chain, 10,000 levels deep
+    rows += [(20_000, 20_002, "c", [], ""), (20_001, 20_000, "c", [], ""), (20_002, 20_001, "c", [], ""),
+             (20_003, 20_001, "below", None, None), (30_000, 99_999, "orphan", [], ""), (30_001, 30_000, "child", [], "")]
+    nodes = spark.createDataFrame(rows, "node_id int, parent_id int, name string, content array<int>, synthesize_output string")
+    got = {r.node_id: (r.root_id, r.depth) for r in tree_rollup(nodes, with_path=False).collect()}
+    assert all(got[i] == (0, i) for i in range(n))
+    assert all(got[i] == (None, None) for i in range(20_000, 20_004))       # a cycle and what hangs on it
+    assert got[30_000] == (30_000, 0) and got[30_001] == (30_000, 1)
+
+
+def test_empty_tree(spark):
+    empty = spark.createDataFrame([], "node_id int, parent_id int, name string, content array<int>, synthesize_output string")
+    assert tree_rollup(empty).collect() == [] and tree_json(tree_rollup(empty)).collect() == []

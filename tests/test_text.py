@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from citeline.functions import text as tx
 from citeline.operators import pages as pg
+from citeline.operators.paragraphs import main_content_expr
 
 
 def run(spark, expr, values):
@@ -52,7 +53,7 @@ def test_main_content_modes_agree(spark):
     html = ["<p>" + "word " * 20 + "</p>", "<p>short text</p>", "<p>" + "y" * 6000 + "</p>", "<p>" + "z" * 41 + "</p>"]
     df = spark.createDataFrame(list(enumerate(html)), "id int, html string")
     a = pg.with_main_content(df, max_chars=5000, mode="compat").orderBy("id").collect()
-    b = pg.with_main_content(df, max_chars=5000, mode="paragraphs").orderBy("id").collect()
+    b = df.withColumn("content", main_content_expr(tx.clean_text(F.col("html")), "\n\n", 5000)).orderBy("id").collect()
     assert [r.content for r in a] == [r.content for r in b]
     assert [len(r.content) for r in a] == [99, 0, 5000, 41]
 
@@ -74,3 +75,18 @@ def test_words_like_python_split(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "id int, s string")
     got = [r.w for r in df.orderBy("id").select(tx.words(F.col("s")).alias("w")).collect()]
     assert got == [s.split() for s in samples]
+
+
+def test_block_text_keeps_blocks_apart(spark):
+    html = ("<body><script>var a='<p>x</p>';</script><p>One <b>bold</b>&nbsp;word<br/>two</p><!-- <p>gone</p> --><DIV class=x>Three"
+            "</DIV><picture>in</picture>line<ul><li>a</li><li> </li><li>b&lt;p&gt;</li></ul>\x01tail")
+    df = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "no tags\n at all")], "id long, html string")
+    got = {r.id: r.t for r in df.select("id", tx.block_text(F.col("html")).alias("t")).collect()}
+    assert got[1] == "One bold word\n\ntwo\n\nThree\n\nin line\n\na\n\nb<p>\n\ntail"
+    assert got[2] is None and got[3] == "" and got[4] == "no tags at all"
+
+
+def test_block_mode_ranks_paragraphs(spark):
+    low, high = "w " * 30, "a study of 2024 " + "word " * 40
+    df = spark.createDataFrame([(1, f"<p>{low}</p><p>short</p><p>{high}</p>")], "id long, html string")
+    assert pg.with_main_content(df, max_chars=5000, mode="blocks").first().content == f"{high.strip()}\n\n{low.strip()}"

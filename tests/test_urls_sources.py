@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from citeline.operators import sources as so
 from citeline.operators import urls as ur
+from citeline.operators.elements import select_links
 from citeline.operators.ordering import number_within
 
 
@@ -29,6 +30,31 @@ def test_links_limit_before_http_filter(spark):
     assert got == [("https://two.com", "Two"), ("http://three.com", "Three")]
 
 
+LINKS = [('<a data-href="d" data-class="result__a" href="https://skip">skip</a>'
+          '<a title="href=\'https://no\' > x" class=\'a result__a\' href="https://one?x=1&amp;y=\'2\'">O<i> n </i>e</a>'
+          '<a href=https://two class=result__a>t&lt;w&amp;lt;o</a>', [("https://one?x=1&y='2'", "One"), ("https://two", "t<w&lt;o")]),
+         ("<a class='result__a'>none</a>", []), ("", []), (None, []), ("<a class='result__a' href='https://open'>never closed", None)]
+
+
+def test_links_by_attribute_boundaries(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(LINKS)], "id int, html string")
+    plain = ur.extract_links(df, "html", ["id"]).orderBy("id", "pos").collect()
+    balanced = select_links(df, "html", ["id"]).orderBy("id", "pos").collect()
+    for i, (_, want) in enumerate(LINKS):
+        if want is not None:
+            assert [(r.url, r.title) for r in plain if r.id == i] == want
+            assert [(r.url, r.title) for r in balanced if r.id == i] == want
+    assert [(r.url, r.title) for r in balanced if r.id == 4] == [("https://open", "never closed")]
+
+
+def test_links_of_nested_elements(spark):
+    html = ('<div class="result__a" href="http://outer">a<div>b<div>c</div></div><p>d</div>e'
+            '<li class="result__a" href="http://li">x<script>no()</script><br>y')
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+    got = [(r.url, r.title) for r in select_links(df, "html", ["id"]).orderBy("pos").collect()]
+    assert got == [("http://outer", "abcd"), ("http://li", "xy")]
+
+
 def test_search_url(spark):
     df = spark.createDataFrame([("climat et océans 2024",)], "q string")
     assert df.select(ur.search_url(F.col("q")).alias("u")).first().u == \
