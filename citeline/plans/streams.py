@@ -8,22 +8,41 @@ import uuid
 from pyspark.sql import functions as F
 
 from citeline.plans import sqltext as sq
-from citeline.plans.events import SQL_TTL
+from citeline.plans.events import SQL_TTL, requests
 from citeline.plans.pages import SOURCE_CONTENT_MAX
 from citeline.plans.registry import query
+from citeline.session import scratch_path, written
 from citeline.streaming.ingest import ingest_pages, page_stream, run_to_table
 from citeline.streaming.ttl import ttl_stream
 
-EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+LATENESS = 2 * 3600 * 1_000_000     # µs by which stand-in requests arrive after their time, at most
+SLICES = 5
+
+
+def late_requests(spark, base):
+    """Stand-in stream: the event log as files that arrive one after another, out of
+    time order by up to ``LATENESS``; a last file with one distant row moves the watermark past all."""
+    ev = requests(spark, base).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATENESS))
+    lo, hi = ev.agg(F.min(arrival), F.max(arrival)).first()
+    span = max(1, (hi or 0) - (lo or 0)) + 1
+    cut = written(ev.withColumn("slice", F.floor((arrival - (lo or 0)) * SLICES / span)), "arrivals")
+    path = scratch_path(spark, f"late-{uuid.uuid4().hex}")
+    for i in range(SLICES):
+        cut.where(F.col("slice") == i).drop("slice").write.mode("append").parquet(path)
+    end = ev.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).where("ts is not null")
+    none = [F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in ("event_id", "user_id")]
+    end.select(none[0], "ts", none[1], F.lit(False).alias("ok")).write.mode("append").parquet(path)
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
 @query("cache_ttl_stream", SQL_TTL)
 def cache_ttl_stream(spark, base):
-    """ST1: the anchored TTL cache evaluated by a stateful stream over the event log."""
-    ev = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(base)
-          .select("event_id", "ts", "user_id", (F.col("event_type") != "error").alias("ok")))
-    out = run_to_table(ttl_stream(ev, "user_id", "ts", "event_id", "ok"), f"ttl-{uuid.uuid4().hex}")
-    return out.select("event_id", "user_id", "hit")
+    """ST1: the anchored TTL cache evaluated by a stateful stream over the event log, with
+    late requests in several micro-batches, a watermark and expiring state."""
+    out = run_to_table(ttl_stream(late_requests(spark, base), "user_id", "ts", "event_id", "ok", watermark="3 hours"),
+                       f"ttl-{uuid.uuid4().hex}")
+    return out.where("event_id is not null").select("event_id", "user_id", "hit")
 
 
 @query("page_ingest_stream", f"""

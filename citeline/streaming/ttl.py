@@ -1,15 +1,15 @@
 """ST1: anchored TTL cache on a request stream.
 
-Per key the state is one timestamp: the last successful cache write
-(anchor).  Each micro-batch's requests of a key are sorted by time and
-folded with the same chain-jumping fold as the batch operator, starting
-from the stored anchor.  With an event-time watermark, a key's state times
-out once the watermark passes ``anchor + TTL``: an expired anchor decides
-exactly like no anchor, so dropping it keeps results exact while the state
-stays bounded by the keys active within one TTL.
-
-Equal to the batch result when each key's requests arrive in time order
-across micro-batches (sorting happens inside one micro-batch).
+Per key the state is the last successful cache write (anchor) and, with an event-time
+watermark, the requests that are still held: a request is decided when the
+watermark has passed it, so requests that arrive out of order by less than
+the watermark delay are folded in time order, with the same chain-jumping fold as the
+batch operator.  Held requests wake their key by an event-time timeout.  A
+key without held requests times out once the watermark passes ``anchor + TTL``: an
+expired anchor decides exactly like no anchor, so the state stays bounded by the
+requests of one delay and the keys active within one TTL.
+
+Without a watermark requests are decided as they come, in time order within a micro-batch.
 """
 
 from __future__ import annotations
@@ -17,40 +17,81 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from citeline.operators.cache import TTL_HOURS, fold_key, to_micros
 
 STATE_SCHEMA = "anchor_us long"
+HELD_SCHEMA = "anchor_us long, held binary"
+_US = "_us"
+
+
+def _pack(frame: pd.DataFrame) -> bytes:
+    """Requests as an Arrow stream, for the state."""
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
 
 
 def ttl_stream(requests: DataFrame, key: str, ts: str, req_id: str, ok: str,
                ttl_hours: float = TTL_HOURS, watermark: str | None = None) -> DataFrame:
     """Streaming S3: ``requests`` (a streaming DataFrame) -> requests with ``hit``.
 
-    ``watermark`` (e.g. ``'1 hour'``) enables state expiry; ``ts`` must then be
-    a TIMESTAMP column (cast NTZ first)."""
+    ``watermark`` (e.g. ``'1 hour'``) is how late a request may come; ``ts`` must then be
+    a TIMESTAMP column (cast NTZ first).  Later ones are dropped by Spark.  A
+    request is put out once the watermark has passed it."""
     ttl_us = int(ttl_hours * 3600 * 1_000_000)
-    src = requests.withWatermark(ts, watermark) if watermark else requests
-    out_schema = StructType.fromJson(src.schema.jsonValue()).add("hit", "boolean")
-    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-
-    def fold(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
+    out_schema = StructType.fromJson(requests.schema.jsonValue()).add("hit", "boolean")
+    if not watermark:
+        return requests.groupBy(key).applyInPandasWithState(
+            _as_they_come(ts, req_id, ok, ttl_us), out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    timed = requests.withColumn(_US, F.unix_micros(ts)).withWatermark(ts, watermark)
+    return timed.groupBy(key).applyInPandasWithState(
+        _in_time_order(req_id, ok, ttl_us), out_schema, HELD_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _as_they_come(ts: str, req_id: str, ok: str, ttl_us: int):
+    def fold(_: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, req_id], kind="stable")
         a0 = state.get[0] if state.exists else None
         hit, _, a = fold_key(to_micros(pdf[ts]), pdf[ok].to_numpy().astype(bool), a0, ttl_us)
         if a is not None:
             state.update((int(a),))
-            if watermark:
-                state.setTimeoutTimestamp(int(a // 1000 + ttl_us // 1000))
-        out = pdf.copy()
-        out["hit"] = hit
-        yield out
+        yield pdf.assign(hit=hit)
+    return fold
 
-    return src.groupBy(key).applyInPandasWithState(fold, out_schema, STATE_SCHEMA, "append", timeout)
 
+def _in_time_order(req_id: str, ok: str, ttl_us: int):
+    def fold(_: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() * 1000
+        anchor, data = state.get if state.exists else (None, None)
+        held = [_unpack(data)] if data else []
+        out = None
+        if held and (held[0][_US] <= passed).any():     # no request up to the watermark can come any more
+            due = held[0][held[0][_US] <= passed].sort_values([_US, req_id], kind="stable")
+            held = [held[0][held[0][_US] > passed]]
+            hit, _, anchor = fold_key(due[_US].to_numpy(), due[ok].to_numpy().astype(bool), anchor, ttl_us)
+            out = due.drop(columns=[_US]).assign(hit=hit)
+        if not state.hasTimedOut:
+            held += list(pdfs)                          # all behind the watermark: Spark has dropped later ones
+        rest = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+        wake = int(rest[_US].min()) if len(rest) else None if anchor is None else int(anchor) + ttl_us
+        if wake is None or (not len(rest) and wake <= passed):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((None if anchor is None else int(anchor), _pack(rest) if len(rest) else None))
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, passed // 1000 + 1))
+        if out is not None:
+            yield out
+    return fold

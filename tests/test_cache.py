@@ -79,18 +79,23 @@ def test_latest_per_key(spark):
     assert got == {"k": "new", "j": "only"}
 
 
-def test_stream_with_watermark_expiry_equals_batch(spark):
-    rows = [(f"u{i % 5}", T0 + i * 53 * 60 * S, i, i % 13 != 0) for i in range(450)]
-    d = tempfile.mkdtemp(prefix="ttl-wm-", dir="/tmp")
-    pdf = pd.DataFrame(rows, columns=["key", "ts", "rid", "ok"])
-    for n, part in enumerate([pdf.iloc[:150], pdf.iloc[150:300], pdf.iloc[300:]]):
-        part.to_parquet(os.path.join(d, f"part{n}.parquet"), index=False, coerce_timestamps="us")
+def test_late_requests_over_several_batches_equal_batch(spark):
+    """Rows up to two hours late, each file one micro-batch; keys expire and come back."""
+    rows = [(f"u{i % 5}", T0 + i * 23 * 60 * S + (i % 5 == 4) * (i // 50) * 9 * H, i, i % 13 != 0) for i in range(450)]
+    arrival = sorted(rows, key=lambda r: r[1] + (r[2] * 7919 % 7200) * S)
+    end = [("end", max(r[1] for r in rows) + 4000 * H, -1, False)]         # moves the watermark past all
+    d = tempfile.mkdtemp(prefix="ttl-late-", dir="/tmp")
+    parts = [arrival[:100], arrival[100:150], arrival[150:151], arrival[151:300], arrival[300:], end]
+    for n, part in enumerate(parts):
+        pd.DataFrame(part, columns=["key", "ts", "rid", "ok"]).to_parquet(os.path.join(d, f"part{n}.parquet"), index=False,
+                                                                          coerce_timestamps="us")
+        os.utime(os.path.join(d, f"part{n}.parquet"), (1_700_000_000 + n, 1_700_000_000 + n))
     src = (spark.readStream.schema("key string, ts timestamp_ntz, rid long, ok boolean")
            .option("maxFilesPerTrigger", 1).parquet(d)
            .withColumn("ts", F.col("ts").cast("timestamp")))      # event time for the watermark
-    out = run_to_table(ttl_stream(src, "key", "ts", "rid", "ok", watermark="1 hour"),
-                       "test-ttl-wm-" + os.path.basename(d))
-    assert hits(out) == hits(ch.ttl_hits(log(spark, rows), "key", "ts", "rid", ok="ok"))
+    out = run_to_table(ttl_stream(src, "key", "ts", "rid", "ok", watermark="3 hours"), "test-ttl-late-" + os.path.basename(d))
+    got = out.collect()
+    assert len(got) == len(rows) and {r.rid: r.hit for r in got} == brute(rows)
 
 
 def brute(rows):
