@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeline.functions.arrays import budget_exclude, ordered_values
-from citeline.operators.ordering import first_n, number_within
+from citeline.operators.ordering import number_within
+from citeline.operators.relevance import snippet_of
+from citeline.operators.running import running_totals
+from citeline.session import written
 
 COMPRESS_MAX = 8000
 COMPRESS_SNIPPET = 1500
@@ -32,34 +35,33 @@ def compress_context(sources: DataFrame, run: str = "research_id", ci: str = "ci
                      key: str = "seq") -> DataFrame:
     """One context string per run.
 
-    Blocks of sources with non-empty content are concatenated in citation
-    order.  A context of at most ``max_chars`` characters is returned whole;
+    Blocks of sources with a snippet (the content's first characters, else the first of
+    ``snippets``) are concatenated in citation order.  A context of at most ``max_chars`` characters is returned whole;
     a longer one keeps whole lines while the running total of line lengths
     (newlines not counted) stays within ``max_chars``.
 
-    Every block starts with a line ``[n] ...`` of at least four characters,
-    so no line past block ``max_chars // 4 + 1`` can survive the cut: only
-    those blocks are gathered per run.  Numbering, the total length and the
-    choice of head blocks use lengths only; text is joined to the head
-    blocks.  Sources without ``ci`` are numbered here by ``key``.
+    Running totals over the blocks' lengths (line characters, and all) choose the
+    blocks of which any line can survive; only their texts are read and gathered.
+    Sources without ``ci`` are numbered here by ``key``.
     """
     if key not in sources.columns:      # numbered sources: the number is the key
         key = ci
-    ids = [run] + list(dict.fromkeys([key] + ([ci] if ci in sources.columns else [])))
-    lens = sources.select(*ids, F.length(title).alias("_tl"),
-                          F.least(F.length(content), F.lit(snippet_chars)).alias("_sl"))
+    heading = F.coalesce(F.col(title), F.lit(""))
+    snippet = snippet_of(sources, snippet_chars, content)
+    ids = list(dict.fromkeys([run, key, *([ci] if ci in sources.columns else [])]))
+    lens = sources.select(*ids, (F.length(heading) + F.length(snippet)).alias("_chars"), F.length(snippet).alias("_snip"),
+                          F.regexp_count(F.concat(heading, snippet), F.lit(NL)).alias("_breaks"))
     if ci not in sources.columns:
         lens = number_within(lens, [run], [key], ci, block_of=key)
-    present = lens.where(F.col("_sl") > 0)
-    block_len = (F.length(F.col(ci).cast("string")) + F.lit(3) + F.col("_tl") + F.lit(1) + F.col("_sl")
-                 + F.lit(2))
-    totals = present.groupBy(run).agg(F.sum(block_len).alias("total_chars"))
-    head = _head_blocks(present.select(*dict.fromkeys([run, key, ci])), run, ci, max_chars // 4 + 1)
-    snippet = F.left(F.col(content), F.lit(snippet_chars))
-    text = sources.select(*dict.fromkeys([run, key, title, content]))
-    blocks = (head.join(text, [run, key])
-              .select(run, ci, source_block(ci, title, snippet).alias("block")))
-    gathered = blocks.groupBy(run).agg(
+    whole = F.length(F.col(ci).cast("string")) + F.lit(len("[] " + NL + NL + NL)) + F.col("_chars")
+    blocks = lens.where(F.col("_snip") > 0).select(
+        *dict.fromkeys([run, key, ci]), whole.alias("_whole"), (whole - F.lit(3) - F.col("_breaks")).alias("_line"))
+    placed = written(running_totals(blocks, [run], [ci], {"_all": "_whole", "_upto": "_line"}), "blocks")
+    totals = placed.groupBy(run).agg(F.max("_all").alias("total_chars"))
+    head = placed.where(F.col("_upto") - F.col("_line") <= max_chars).select(*dict.fromkeys([run, key, ci]))
+    text = sources.select(*dict.fromkeys([run, key]), heading.alias("_title"), snippet.alias("_snippet"))
+    found = head.join(text, list(dict.fromkeys([run, key]))).select(run, ci, source_block(ci, "_title", F.col("_snippet")).alias("block"))
+    gathered = found.groupBy(run).agg(
         F.array_join(ordered_values(F.collect_list(F.struct(F.col(ci), F.col("block"))), "block"), "")
         .alias("text"))
     lines = F.split(F.col("text"), NL, -1)
@@ -68,12 +70,6 @@ def compress_context(sources: DataFrame, run: str = "research_id", ci: str = "ci
                     .otherwise(F.array_join(budget_exclude(lines, max_chars), NL)).alias("context")))
 
 
-def _head_blocks(blocks: DataFrame, run: str, ci: str, k: int) -> DataFrame:
-    """First ``k`` blocks per run by citation number (block-wise numbering:
-    a run with a third of all sources is never sorted in one task)."""
-    return first_n(blocks, [run], [ci], k, block_of=ci).drop("_rank")
-
-
 def format_results(results: DataFrame, group: list[str], order: list[str], title: str = "title",
                    url: str = "url", snippet: str = "snippet", shown: int = RESULTS_SHOWN,
                    snippet_chars: int = RESULT_SNIPPET, citation: str | None = None) -> DataFrame:

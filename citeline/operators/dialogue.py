@@ -23,9 +23,6 @@ from citeline.functions.arrays import ordered_values
 STOP_PREFIXES = ("Merci", "Thank")
 MAX_TURNS = 2
 HISTORY_CHARS = 2000
-# every history piece "\nQ: q\nR: a\n" has at least 9 characters, so the last
-# 2000 characters never reach further back than this many turns
-HISTORY_TURNS = -(-HISTORY_CHARS // 9)
 FINDING_SPLIT = "[.!?]" + tx.WS + "+"
 FINDING_PIECES = 3
 FINDING_MIN = 20
@@ -44,16 +41,15 @@ def assemble_turns(conv: DataFrame, key: str = "conv_id", turn: str = "turn", ro
 
     Questions are stripped user utterances; a dialogue ends at the first
     question starting with a stop phrase (that question excluded), and keeps
-    at most ``max_turns`` answered questions.
+    at most ``max_turns`` answered questions.  A question is answered by the
+    conversation's next utterance if that is the assistant's; turn numbers may have gaps.
     """
-    users = conv.where(F.col(role) == "user").select(
-        F.col(key), F.col(turn), tx.py_strip(F.col(text)).alias("question"))
-    answers = conv.where(F.col(role) == "assistant").select(
-        F.col(key), (F.col(turn) - 1).alias(turn), F.col(text).alias("answer"))
+    follows = Window.partitionBy(key).orderBy(turn)
+    said = conv.select(key, turn, role, text, F.lead(role).over(follows).alias("_role"), F.lead(text).over(follows).alias("answer"))
+    users = said.where(F.col(role) == "user").withColumn("question", tx.py_strip(F.col(text)))
     stops = (users.where(is_stop(F.col("question")))
              .groupBy(key).agg(F.min(turn).alias("_stop")))
-    pairs = (users.join(answers, [key, turn])
-             .join(stops, key, "left")
+    pairs = (users.where(F.col("_role") == "assistant").join(stops, key, "left")
              .where(F.col("_stop").isNull() | (F.col(turn) < F.col("_stop"))))
     w = Window.partitionBy(key).orderBy(turn)
     return (pairs.withColumn("turn_no", F.row_number().over(w).cast("long"))
@@ -62,16 +58,24 @@ def assemble_turns(conv: DataFrame, key: str = "conv_id", turn: str = "turn", ro
 
 
 def history_piece(q="question", a="answer"):
-    return F.concat(F.lit("\nQ: "), F.col(q), F.lit("\nR: "), F.col(a), F.lit("\n"))
+    return F.concat(F.lit("\nQ: "), F.coalesce(q, F.lit("")), F.lit("\nR: "), F.coalesce(a, F.lit("")), F.lit("\n"))
 
 
 def with_history(turns: DataFrame, key: str = "conv_id", order: str = "turn_no",
                  chars: int = HISTORY_CHARS) -> DataFrame:
     """The interview history seen when asking each question: the previous
-    turns as ``\\nQ: …\\nR: …\\n``, last ``chars`` characters."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-HISTORY_TURNS, -1)
-    prev = F.collect_list(F.struct(F.col(order), history_piece().alias("p"))).over(w)
-    return turns.withColumn("history", F.right(F.array_join(ordered_values(prev, "p"), ""), F.lit(chars)))
+    turns as ``\\nQ: …\\nR: …\\n``, last ``chars`` characters; null texts are empty.
+
+    A running total of the pieces' lengths tells where each piece ends; the frame of
+    a turn reaches back over the pieces that end within the last ``chars`` characters, and no further."""
+    by = Window.partitionBy(key).orderBy(order)
+    size = F.length(history_piece())
+    start = F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)) - size
+    placed = turns.withColumn("_start", start).withColumn("_before", F.lag(history_piece()).over(by))
+    reach = Window.partitionBy(key).orderBy("_start").rangeBetween(1 - chars, 0)
+    pieces = F.collect_list(F.when(F.col("_before").isNotNull(), F.struct("_start", F.col("_before").alias("p")))).over(reach)
+    return (placed.withColumn("history", F.right(F.array_join(ordered_values(pieces, "p"), ""), F.lit(chars)))
+            .drop("_start", "_before"))
 
 
 def findings(turns: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:

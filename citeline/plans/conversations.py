@@ -7,6 +7,7 @@ personas per question): ``research_id = conv_id div 3``.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeline.operators import dialogue as dl
@@ -76,6 +77,30 @@ def conv_history(spark, base):
     return dl.with_history(turns(spark, base)).select("conv_id", "turn_no", "history")
 
 
+def long_turns(spark, base):
+    """Stand-in for long interviews: every answered question, answers said three times."""
+    t = dl.assemble_turns(load_conv(spark, base), max_turns=1 << 30)
+    return t.select("conv_id", "turn_no", "question", F.repeat("answer", F.lit(3)).alias("answer"))
+
+
+@query("conv_history_long", f"""
+WITH t AS (SELECT conv_id, turn_no, question, repeat(answer, 3) AS answer
+           FROM ({SQL_TURNS.replace(f"WHERE turn_no <= {dl.MAX_TURNS}", "")})),
+h AS (SELECT t.conv_id, t.turn_no,
+             coalesce(string_agg(chr(10) || 'Q: ' || p.question || chr(10) || 'R: ' || p.answer || chr(10), ''
+                                 ORDER BY p.turn_no), '') AS hist
+      FROM t LEFT JOIN t p ON p.conv_id = t.conv_id AND p.turn_no < t.turn_no
+      GROUP BY t.conv_id, t.turn_no)
+SELECT conv_id, turn_no, right(hist, {dl.HISTORY_CHARS}) AS history, length(hist)::BIGINT > {dl.HISTORY_CHARS} AS cut FROM h""")
+def conv_history_long(spark, base):
+    """D2 where the 2000 characters do not hold all earlier turns."""
+    turns = long_turns(spark, base)
+    piece = F.length(dl.history_piece())
+    before = F.coalesce(F.sum(piece).over(Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (dl.with_history(turns.withColumn("cut", before > dl.HISTORY_CHARS))
+            .select("conv_id", "turn_no", "history", "cut"))
+
+
 @query("conv_findings", SQL_FINDINGS)
 def conv_findings(spark, base):
     """D3: findings extracted from the answers."""

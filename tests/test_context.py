@@ -57,3 +57,21 @@ def test_deep_dive(spark):
     assert [r.subtopic for r in rows] == ["premier sous-theme long", "second sous-theme long", "troisieme sous-theme"]
     assert rows[0].section_title == "Exploration approfondie: premier sous-theme long"
     assert rows[1].info == "[1] B\nURL: http://b\nbb\n" and rows[2].info == ""
+
+
+def test_compress_null_and_empty_pieces(spark):
+    rows = [("r", 1, None, "a\nb", None), ("r", 2, "T\n2", "", ["snip\npet", "x"]), ("r", 3, "T", None, None), ("r", 4, "T", "", []),
+            ("s", 1, "T", "\n" * 50, None), ("s", 2, "T", "z", None), ("empty", 1, "T", None, None)]
+    df = spark.createDataFrame(rows, "research_id string, citation_index long, title string, content string, snippets array<string>")
+    want = {"r": "[1] \na\nb\n\n[2] T\n2\nsnip\npet\n\n", "s": "[1] T\n" + "\n" * 50 + "\n\n[2] T\nz\n\n"}
+    assert {r.research_id: r.context for r in compress_context(df).collect()} == want
+    for most in (0, 3, 5, 9, 11, 20):
+        got = {r.research_id: r.context for r in compress_context(df, max_chars=most).collect()}
+        for run, text in want.items():
+            kept, total = [], 0
+            for line in text.split("\n") if len(text) > most else []:
+                if total + len(line) > most:
+                    break
+                kept.append(line)
+                total += len(line)
+            assert got[run] == (text if len(text) <= most else "\n".join(kept)), (run, most)

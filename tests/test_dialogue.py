@@ -51,3 +51,23 @@ def test_first_findings(spark):
     f = spark.createDataFrame([(1, i, f"f{i}") for i in range(12)], "research_id long, k long, finding string")
     out = dl.first_findings(f, "research_id", ["k"], 10, "s").first().s
     assert out.split("\n") == [f"- f{i}" for i in range(10)]
+
+
+def test_history_reaches_exactly_as_far_back_as_its_characters(spark):
+    rows = [("k", i, "q" * (i % 7 * 40) or None, "" if i % 5 == 0 else chr(97 + i % 26) * (i * 13 % 400)) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id string, turn_no long, question string, answer string")
+    for chars in (1, 9, 50, 2000, 10 ** 6):
+        got = {r.turn_no: r.history for r in dl.with_history(df, chars=chars).collect()}
+        text = ""
+        for _, n, q, a in rows:
+            assert got[n] == text[-chars:]
+            text += f"\nQ: {q or ''}\nR: {a}\n"
+    assert len(text) > 2000
+
+
+def test_turns_pair_over_gaps(spark):
+    rows = [("k", 0, "user", " a? "), ("k", 3, "assistant", "A"), ("k", 7, "user", "b?"), ("k", 8, "user", "c?"),
+            ("k", 20, "assistant", "C"), ("k", 21, "assistant", "ignored")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = [(r.turn_no, r.turn, r.question, r.answer) for r in dl.assemble_turns(df).orderBy("turn_no").collect()]
+    assert got == [(1, 0, "a?", "A"), (2, 8, "c?", "C")]

@@ -20,9 +20,12 @@ def test_catalogue_newest_20_skips_corrupt(spark):
     q = spark.createDataFrame([(f"run{i:02d}", "Q" * 150 if i == 24 else f"question {i}") for i in range(25)],
                               "research_id string, question string")
     t = spark.createDataFrame([(f"run{i:02d}", "text") for i in range(25)], "research_id string, report string")
-    rp.write_reports(rp.report_records(stats, q, t, generated_at="2026-03-01T10:00:00Z"), path)
+    records = rp.report_records(stats, q, t, generated_at="2026-03-01T10:00:00Z")
+    rp.write_reports(records, path)
+    rp.write_reports(records.where("research_id >= 'run10'"), path)     # again: nothing changes
+    assert rp.read_reports(spark, path).count() == 25
     # one unreadable file and one report without stats
-    bad = os.path.join(path, "reports", "dt=2026-03-02")
+    bad = os.path.join(path, "reports", "bucket=3")
     os.makedirs(bad, exist_ok=True)
     with open(os.path.join(bad, "corrupt.json"), "w") as f:
         f.write("{not json\n")
@@ -91,3 +94,21 @@ def test_deep_chain_cycle_and_orphan(spark):
 def test_empty_tree(spark):
     empty = spark.createDataFrame([], "node_id int, parent_id int, name string, content array<int>, synthesize_output string")
     assert tree_rollup(empty).collect() == [] and tree_json(tree_rollup(empty)).collect() == []
+
+
+def test_report_files_as_written_one_by_one(spark, tmp_path):
+    for i in range(23):
+        report = {"question": f"é {i} " + "x" * 120, "generated_at": f"2026-02-{i + 1:02d}T00:00:00Z", "stats": {"total_findings": i},
+                  "sources": [{"index": 1, "url": "http://u", "title": "t", "description": ""}], "report": "# R\n\ntext"}
+        (tmp_path / f"report_202602{i + 1:02d}_000000.json").write_text(json.dumps(report, indent=2, ensure_ascii=False))
+    (tmp_path / "report_20260230_000000.json").write_text('{"question": "cut off')
+    (tmp_path / "report_20260231_000000.json").write_text("{}")
+    (tmp_path / "other.json").write_text("{}")
+    got = rp.file_catalogue(spark, str(tmp_path)).collect()
+    assert [r.file for r in got] == ["report_20260231_000000.json"] + [f"report_202602{i:02d}_000000.json" for i in range(23, 4, -1)]
+    assert (got[0].question, got[0].date, got[0].findings) == ("", "", 0)
+    assert got[1].question == ("é 22 " + "x" * 120)[:100] and got[1].findings == 22
+    one = rp.file_lookup(spark, str(tmp_path), "report_20260203_000000.json").first()
+    assert one.report == "# R\n\ntext" and one.sources[0].url == "http://u"
+    assert rp.file_lookup(spark, str(tmp_path), "report_20260230_000000.json").count() == 0
+    assert rp.file_lookup(spark, str(tmp_path), "none.json").count() == 0
