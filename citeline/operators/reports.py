@@ -89,7 +89,7 @@ def _replace_runs(new: DataFrame, kept: DataFrame | None, run: str):
         touched = F.broadcast(new.select("bucket").distinct())      # at most BUCKETS rows
         others = kept.join(touched, "bucket", "left_semi").join(new.select(run).distinct(), run, "left_anti")
         new = written(new.unionByName(others.select(*new.columns)), "reports-merged")
-    return new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
+    return new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
 
 
 def _stored(reader, path: str, kind: str) -> DataFrame | None:
