@@ -25,10 +25,12 @@ def duck(base: str):
 def _norm_rows(pdf):
     import math
 
+    import pandas as pd
+
     cols = sorted(pdf.columns)
 
     def norm(v):
-        if v is None:
+        if v is None or v is pd.NA:     # DuckDB's nullable integers
             return None
         if isinstance(v, float):
             return None if math.isnan(v) else round(v, 9)
