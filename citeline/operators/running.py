@@ -63,3 +63,19 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     per = {f"{n}_before": F.sum(n) for n in amounts}
     joined = _with_offsets(rows, keys, per, list(per))
     return joined.select(*kept, *[(F.sum(n).over(here) + F.col(f"{n}_before")).alias(out) for n, out in zip(amounts, totals)])
+
+
+def carried_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str) -> DataFrame:
+    """``df`` with nulls of ``value`` replaced by the group's last value before them in
+    ``order`` (null if there is none).  A stretch hands its last value on to the later ones."""
+    rows = _stretches(df, keys, order)
+    earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.groupBy(_PART, *keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(_ROW))).alias("_last"))
+    entering = cut.select(F.col(_PART).alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                          F.last("_last", ignorenulls=True).over(earlier).alias("_entering")).where("_entering is not null")
+    on = F.col(_PART) == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    here = Window.partitionBy(_PART, *keys).orderBy(_ROW).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(value, ignorenulls=True).over(here), F.col("_entering")).alias(value)
+    return rows.join(entering, on, "left").select(*[filled if c == value else F.col(c) for c in df.columns])

@@ -11,8 +11,11 @@ from citeline.plans import sqltext as sq
 from citeline.plans.events import SQL_TTL, requests
 from citeline.plans.pages import SOURCE_CONTENT_MAX
 from citeline.plans.registry import query
+from citeline.plans.web import SQL_REQUESTS, requests as url_requests
 from citeline.session import scratch_path, written
+from citeline.sources.tables import read_table
 from citeline.streaming.ingest import ingest_pages, page_stream, run_to_table
+from citeline.streaming.registry import SourceRegistry
 from citeline.streaming.ttl import ttl_stream
 
 LATENESS = 2 * 3600 * 1_000_000     # µs by which stand-in requests arrive after their time, at most
@@ -76,3 +79,28 @@ def url_dedup_stream(spark, base):
            .unionByName(p.select("research_id", F.concat("url", F.lit(MISSING)).alias("url"))))
     out = run_to_table(first_seen_stream(req, ["research_id", "url"]), f"dedup-{uuid.uuid4().hex}")
     return out.select("research_id", "url")
+
+
+ARRIVALS = 3
+_SEEN = f"""
+WITH a AS (SELECT *, (seq + step) % {ARRIVALS} AS batch_id FROM ({SQL_REQUESTS})),
+f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY research_id, url ORDER BY batch_id, step, seq) = 1),
+held AS (SELECT f.*, EXISTS (SELECT 1 FROM pages p WHERE p.url = f.url) AS ok FROM f)
+SELECT research_id, url, step, seq, batch_id::BIGINT AS batch_id,
+       CASE WHEN ok THEN count(*) FILTER (WHERE ok) OVER (PARTITION BY research_id ORDER BY batch_id, step, seq) END AS citation_index
+FROM held"""
+
+
+@query("source_registry_stream", _SEEN)
+def source_registry_stream(spark, base):
+    """ST2+U3+C1+C2: the source registry grown by a request stream. The requests arrive in
+    three parts, each of which the restarted stream takes as its next batch."""
+    tag = uuid.uuid4().hex
+    asked = url_requests(spark, base).withColumn("part", F.pmod(F.col("seq") + F.col("step"), F.lit(ARRIVALS)))
+    path, corpus = scratch_path(spark, f"asked-{tag}"), read_table(spark, base, "pages", "url")
+    registry = SourceRegistry(spark, f"registry_{tag}")
+    for part in range(ARRIVALS):
+        asked.where(F.col("part") == part).drop("part").write.mode("append").parquet(path)
+        arriving = spark.readStream.schema(asked.drop("part").schema).parquet(path)
+        registry.follow(arriving, corpus, scratch_path(spark, f"registry-stream-{tag}"))
+    return registry.rows()

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from citeline.operators import sources as so
 from citeline.operators import urls as ur
-from citeline.operators.elements import select_links
 from citeline.operators.context import format_results
+from citeline.operators.elements import select_links
+from citeline.operators.versions import fetch_as_of, store_versions
 from citeline.plans import sqltext as sq
 from citeline.plans.pages import SOURCE_CONTENT_MAX, load_pages, site_col
 from citeline.plans.registry import query
@@ -130,6 +131,34 @@ def fetch_batch_status(spark, base):
     return so.fetch(requests(spark, base), read_table(spark, base, "pages", "url", "html"))
 
 
+CRAWLS = 3          # crawls of the stand-in corpus, a week apart
+_FIRST = "TIMESTAMP '2024-01-01 00:00:00'"
+
+
+def crawled(spark, base):
+    """Stand-in corpus with versions: a page is in crawl ``c`` unless ``c + 2`` divides its id; the
+    crawl is marked in its text."""
+    p = load_pages(spark, base, "page_id", "url", "html").where("url is not null")
+    rows = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(CRAWLS - 1))).alias("crawl")).where("page_id % (crawl + 2) <> 0")
+    return rows.select("url", F.expr(f"{_FIRST} + make_dt_interval(crawl * 7)").alias("fetched_at"),
+                       F.concat(F.coalesce("html", F.lit("")), F.lit("<!-- crawl "), F.col("crawl").cast("string"), F.lit(" -->")).alias("html"))
+
+
+@query("fetch_versions", f"""
+WITH v AS (SELECT url, {_FIRST} + to_days(7 * c::INT) AS fetched_at, coalesce(html, '') || '<!-- crawl ' || c || ' -->' AS html
+           FROM pages, range({CRAWLS}) t(c) WHERE url IS NOT NULL AND page_id % (c + 2) <> 0),
+r AS (SELECT *, {_FIRST} + to_hours(((seq * 37) % 600 - 20)::INT) AS requested_at FROM ({SQL_REQUESTS}))
+SELECT r.research_id, r.step, r.seq, r.url, v.fetched_at, v.html IS NOT NULL AS ok,
+       sha256(coalesce(v.html, {sq.lit(so.ERROR_TEXT)})) AS content_sha256
+FROM r ASOF LEFT JOIN v ON r.url = v.url AND r.requested_at >= v.fetched_at""")
+def fetch_versions(spark, base):
+    """S5 over a corpus of several crawls: every request gets the page as of its time."""
+    hours = F.pmod(F.col("seq") * 37, F.lit(600)) - 20
+    asked = requests(spark, base).withColumn("requested_at", F.expr(_FIRST) + F.make_dt_interval(hours=hours.cast("int")))
+    got = fetch_as_of(asked, store_versions(crawled(spark, base)))
+    return got.select("research_id", "step", "seq", "url", "fetched_at", "ok", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("source_citations", f"""
 WITH first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY research_id, url ORDER BY step, seq) AS rn
                               FROM ({SQL_REQUESTS})) WHERE rn = 1),
