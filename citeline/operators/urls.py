@@ -83,13 +83,13 @@ def plan_requests(responses: DataFrame, run: str = "research_id", step: str = "s
     before any dedup).  ``seq`` = (turn * searched + query) * cap + position
     is exact and increasing because query < searched and position < cap —
     a narrow projection plus ``posexplode``.  Where several personas are
-    interviewed in one step, a ``persona_no`` column orders them first (turns
-    below 65,536).  ``seq`` is unique within a step, not across steps.
+    interviewed in one step, a ``persona_no`` column orders them first (turn
+    numbers of 32 bits).  ``seq`` is unique within a step, not across steps.
     """
     kept = responses.where(F.col(query_no) < searched)
     order = F.col(turn).cast("long")
     if "persona_no" in responses.columns:
-        order = F.coalesce(F.col("persona_no").cast("long"), F.lit(0)) * (1 << 16) + order
+        order = F.coalesce(F.col("persona_no").cast("long"), F.lit(0)) * (1 << 32) + order
     urls = kept.select(run, step, order.alias("_order"), query_no,
                        F.posexplode(extract_urls(F.col(text), cap)).alias("_pos", "url"))
     seq = (F.col("_order") * searched + F.col(query_no)) * cap + F.col("_pos")

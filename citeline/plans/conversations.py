@@ -64,6 +64,19 @@ def conv_turns(spark, base):
     return turns(spark, base)
 
 
+STOPPED = "CASE WHEN role = 'user' AND (conv_id + turn) % 5 = 0 THEN '  Merci, ' || text ELSE text END"
+
+
+@query("conv_turns_stopped", SQL_TURNS.replace(
+    "FROM conversations)", f"FROM (SELECT conv_id, turn, role, {STOPPED} AS text FROM conversations))"))
+def conv_turns_stopped(spark, base):
+    """L6 where questions do open with a stop phrase: stand-in interviews in which a fifth of
+    the questions thank."""
+    thanked = (F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 5 == 0)
+    text = F.when(thanked, F.concat(F.lit("  Merci, "), "text")).otherwise(F.col("text"))
+    return dl.assemble_turns(load_conv(spark, base).withColumn("text", text))
+
+
 @query("conv_history", f"""
 WITH t AS ({SQL_TURNS}),
 h AS (SELECT t.conv_id, t.turn_no,

@@ -159,6 +159,21 @@ def fetch_versions(spark, base):
     return got.select("research_id", "step", "seq", "url", "fetched_at", "ok", F.sha2("content", 256).alias("content_sha256"))
 
 
+@query("fetch_fallback", f"""
+WITH d AS (SELECT DISTINCT url FROM ({SQL_REQUESTS})),
+a AS (SELECT url, '<!-- rendered -->' || html AS html FROM pages WHERE page_id % 3 = 0),
+b AS (SELECT url, html FROM pages WHERE page_id % 3 < 2)
+SELECT d.url, CASE WHEN a.html IS NOT NULL THEN 'preferred' WHEN b.html IS NOT NULL THEN 'plain' END AS origin,
+       coalesce(a.html, b.html, {sq.lit(so.ERROR_TEXT)}) AS content
+FROM d LEFT JOIN a ON a.url = d.url LEFT JOIN b ON b.url = d.url""")
+def fetch_fallback(spark, base):
+    """Pages from a rendered corpus (stand-in: a third of the pages), else from the plain one
+    (two thirds), else an error text."""
+    p = load_pages(spark, base, "page_id", "url", "html")
+    rendered = p.where("page_id % 3 = 0").select("url", F.concat(F.lit("<!-- rendered -->"), "html").alias("html"))
+    return so.fetch_with_fallback(requests(spark, base), rendered, p.where("page_id % 3 < 2").select("url", "html"))
+
+
 @query("source_citations", f"""
 WITH first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY research_id, url ORDER BY step, seq) AS rn
                               FROM ({SQL_REQUESTS})) WHERE rn = 1),
