@@ -8,34 +8,35 @@ UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 MIX = """
 WITH RECURSIVE counts AS (
-  SELECT coalesce('=' || source, '') AS k, count(*) AS n FROM documents GROUP BY ALL),
+  SELECT coalesce('=' || source, '') AS k, count(*) AS n, (count(*) + 15) // 16 AS b FROM documents GROUP BY ALL),
 share AS (
-  SELECT k, n, greatest(1, CAST(round(pow(CAST(n AS DOUBLE), 0.5) / (SELECT sum(pow(CAST(n AS DOUBLE), 0.5)) FROM counts) * 1000) AS BIGINT)) AS a
+  SELECT k, n, b, greatest(1, CAST(round(pow(CAST(n AS DOUBLE), 0.5) / (SELECT sum(pow(CAST(n AS DOUBLE), 0.5)) FROM counts) * 1073741824) AS BIGINT)) AS a
   FROM counts),
 p AS (SELECT list(a ORDER BY k) AS aa, list(k ORDER BY k) AS kk, CAST(sum(a) AS BIGINT) AS w FROM share),
+h AS (SELECT min(((b + 1) * w + a - 1) // a) AS slots FROM share, p),
 play(t, served, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(aa, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM p
   UNION ALL
   SELECT t + 1, list_transform(served, lambda s, i: s + CASE WHEN i = pk THEN 1 ELSE 0 END), pk
-  FROM (SELECT t, served, w, list_sort(list_filter(list_transform(aa, lambda a, i:
+  FROM (SELECT t, served, slots, list_sort(list_filter(list_transform(aa, lambda a, i:
                  CASE WHEN (served[i] * w) // a <= t + 1 THEN [((served[i] + 1) * w + a - 1) // a, i] END),
                lambda x: x IS NOT NULL))[1][2] AS pk
-        FROM play, p WHERE t + 1 < w)),
+        FROM play, p, h WHERE t + 1 < slots)),
 turns AS (
   SELECT kk[pick] AS k, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM play, p WHERE t >= 0),
+ends AS (SELECT min(slot) AS e FROM turns JOIN share USING (k) WHERE turn >= b),
+blocks AS (SELECT k, unnest(range(b)) AS turn, a FROM share),
+early AS (SELECT k, turn, slot FROM turns, ends WHERE slot < e),
+late AS (
+  SELECT k, turn, e - 1 + row_number() OVER (ORDER BY ((turn + 1) * w + a - 1) // a, k) AS slot
+  FROM blocks ANTI JOIN early USING (k, turn), p, ends),
 numbered AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS k,
          row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS r
-  FROM documents),
-ends AS (
-  SELECT min((b // a) * w + slot) AS e
-  FROM (SELECT k, a, (n + 15) // 16 AS b FROM share) s, p, turns t WHERE t.k = s.k AND t.turn = b % a),
-placed AS (
-  SELECT doc_id, source, r // 16 AS mix_block, ((r // 16) // a) * w + slot AS mix_slot, r % 16 AS place
-  FROM numbered JOIN share USING (k) CROSS JOIN p JOIN turns ON turns.k = numbered.k AND turn = (r // 16) % a)
-SELECT doc_id, source, CAST(mix_block AS BIGINT) AS mix_block, CAST(mix_slot AS BIGINT) AS mix_slot,
-       CAST(mix_slot * 16 + place AS BIGINT) AS mix_position, mix_slot < e AS on_target
-FROM placed, ends
+  FROM documents)
+SELECT doc_id, source, CAST(r // 16 AS BIGINT) AS mix_block, CAST(slot AS BIGINT) AS mix_slot,
+       CAST(slot * 16 + r % 16 AS BIGINT) AS mix_position, slot < e AS on_target
+FROM numbered n JOIN (SELECT * FROM early UNION ALL SELECT * FROM late) s ON s.k = n.k AND s.turn = r // 16, ends
 """
 
 LINES = r"""

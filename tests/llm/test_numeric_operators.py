@@ -7,7 +7,7 @@ from llm_fixtures import prose
 
 import corpus_pipeline
 from citeline.llm.decontaminate import leaks, without_leaks
-from citeline.llm.mixing import mix_sources
+from citeline.llm.mixing import mix_sources, schedule
 from citeline.llm.topk import top_k
 from test_near_duplicates import classes
 
@@ -22,7 +22,6 @@ def test_mix_keeps_every_source_within_a_block(make):
         got = mix_sources(df, weights, block_docs=4).collect()
         assert len(got) == len(rows) and sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
         w = {s: n ** 0.5 for s, n in sizes.items()} if weights is None else weights
-        ints = {s: max(1, round(1000 * x / sum(w.values()))) for s, x in w.items()}
         slots = {}
         for r in got:
             slots.setdefault(r.mix_slot, set()).add(r.source)
@@ -31,7 +30,7 @@ def test_mix_keeps_every_source_within_a_block(make):
         used = dict.fromkeys(sizes, 0)
         for t in range(end):
             used[next(iter(slots[t]))] += 1
-            assert all(abs(used[s] - (t + 1) * ints[s] / sum(ints.values())) < 1 for s in sizes)
+            assert all(abs(used[s] - (t + 1) * w[s] / sum(w.values())) < 1 for s in sizes)
         by_source = {}
         for r in got:
             by_source.setdefault(r.source, []).append(r)
@@ -41,6 +40,47 @@ def test_mix_keeps_every_source_within_a_block(make):
         assert len({r.mix_position for r in got}) == len(got)
 
 
+def played(shares, slots):
+    """Earliest deadline first, slot by slot."""
+    total, served, out = sum(shares.values()), dict.fromkeys(shares, 0), []
+    for t in range(slots):
+        key = min((-(-(k + 1) * total // shares[s]), s) for s, k in served.items() if k * total // shares[s] <= t)[1]
+        out.append((key, served[key], t))
+        served[key] += 1
+    return out
+
+
+def test_schedule_without_and_with_seams(make):
+    rng = random.Random(8)
+    for case in range(5):
+        shares = {f"s{i:02}": rng.choice([1, 2, 3, 7, 40, 1000]) for i in range(rng.randrange(1, 12))}
+        total = sum(shares.values())
+        frame = make([(k, a, total) for k, a in shares.items()], "key string, share long, total long")
+        got = sorted(schedule(frame, 150).collect(), key=lambda r: r.slot)
+        assert [tuple(r) for r in got] == played(shares, 150)
+        got = sorted(schedule(frame, 150, epoch=16).collect(), key=lambda r: r.slot)
+        assert [r.slot for r in got] == list(range(150))
+        used = dict.fromkeys(shares, 0)
+        for r in got:
+            assert r.turn == used[r.key]                                    # each block once, in order
+            used[r.key] += 1
+            assert all((r.slot + 1) * a / total - used[k] < 1 for k, a in shares.items())   # no deadline is missed
+            assert all(used[k] - (r.slot + 1) * a / total < 2 for k, a in shares.items())
+
+
+def test_mix_with_many_sources_and_tiny_weights(make):
+    rows = [(i, "hot") for i in range(9000)] + [(10000 + i, f"t{i % 1500}") for i in range(3000)]
+    weights = {"hot": 0.9, **{f"t{i}": 0.1 / 1500 for i in range(1500)}}
+    got = mix_sources(make(rows, "doc_id long, source string"), weights, block_docs=1).collect()
+    assert sorted(r.mix_slot for r in got) == list(range(len(rows)))
+    early = sorted((r.mix_slot, r.source) for r in got if r.on_target)
+    hot = 0
+    for t, source in early:
+        hot += source == "hot"
+        assert abs(hot - 0.9 * (t + 1)) < 1
+    assert len(early) >= 9000
+
+
 def test_mix_edges(make):
     schema = "doc_id long, source string"
     assert mix_sources(make([], schema)).collect() == []
