@@ -1,8 +1,8 @@
 """Line dedup by winnowing over line hashes.
 
 A passage is a run of whole lines with at least ``min_words`` words.  For every
-line the shortest such run that starts there is a window, and with
-``whole_runs`` the shortest that ends there; the smallest line hash in a window
+line the shortest such run that starts there is a window, and
+the shortest that ends there; the smallest line hash in a window
 is its fingerprint, so two documents that share a run of lines with that many
 words are sure to share a fingerprint.  Positions are joined on the fingerprints
 that occur more than once; at these, equal windows match, and the windows that
@@ -26,10 +26,10 @@ NULL_ID = -(1 << 63)
 WINDOWS = "fingerprint long, did long, digest long, windows array<struct<first:int,last:int,content:binary>>"
 
 
-def windows_of(lines: list[bytes], min_words: int, whole_runs: bool = True) -> list[tuple[int, int, int, int, bytes]]:
+def windows_of(lines: list[bytes], min_words: int) -> list[tuple[int, int, int, int, bytes]]:
     """(fingerprint, its line, first line, last line, content digest) of every
     window: the shortest run of lines from a non-blank line on with at least
-    ``min_words`` words and, with ``whole_runs``, the shortest up to one, and two
+    ``min_words`` words, the shortest up to one, and two
     such lines in a row (for blank lines between them).  Lines are compared with
     white space collapsed."""
     words = [line.split() for line in lines]
@@ -45,7 +45,7 @@ def windows_of(lines: list[bytes], min_words: int, whole_runs: bool = True) -> l
         bounds[left, right] = None
         total -= len(words[first])
     left, total = 0, 0
-    for right, last in enumerate(solid if whole_runs else (), 1):
+    for right, last in enumerate(solid, 1):
         total += len(words[last])
         while total - len(words[solid[left]]) >= min_words:
             total -= len(words[solid[left]])
@@ -64,7 +64,7 @@ def windows_of(lines: list[bytes], min_words: int, whole_runs: bool = True) -> l
     return out
 
 
-def _fingerprints(min_words: int, whole_runs: bool):
+def _fingerprints(min_words: int):
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out, held = ([], [], [], []), 0
@@ -73,7 +73,7 @@ def _fingerprints(min_words: int, whole_runs: bool):
                 if not text:
                     continue
                 at = {}
-                for mark, line, first, last, content in windows_of(text.encode("utf-8").split(b"\n"), min_words, whole_runs):
+                for mark, line, first, last, content in windows_of(text.encode("utf-8").split(b"\n"), min_words):
                     at.setdefault((mark, line), []).append({"first": first, "last": last, "content": content})
                 for (mark, _), found in at.items():
                     for column, value in zip(out, (mark, did.as_py(), digest.as_py(), found)):
@@ -104,14 +104,13 @@ def _without(lines, spans):
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), between))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, whole_runs: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with later repeats of passages deleted from ``text``, plus
     ``n_lines``, ``n_removed`` (long) and ``removed``, the deleted line ranges
     (array of (first, last), merged, lines from 0).
 
     * A line goes when it lies in any run of at least ``min_words`` words that
-      occurred before.  Without ``whole_runs`` only lines in a repeated shortest run
-      from a line on go, so up to ``min_words`` - 1 words at the end of a run stay.
+      occurred before.
     * Null and empty texts stay as they are (0 and 1 lines); a text with fewer
       than ``min_words`` words has no passage.  Lines end at ``\\n``.
     * Occurrences are ordered by ``doc_id`` (null first), a hash of the text,
@@ -123,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, whole_runs: bool = True) -
     docs = docs.drop("n_lines", "n_removed", "removed")
     did, digest = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64("text")
     marks = materialize(docs.select(did.alias("did"), digest.alias("digest"), "text")
-                        .mapInArrow(_fingerprints(min_words, whole_runs), WINDOWS), "fingerprints")
+                        .mapInArrow(_fingerprints(min_words), WINDOWS), "fingerprints")
     shared = marks.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     found = materialize(
         marks.join(materialize(shared, "shared"), "fingerprint", "left_semi")

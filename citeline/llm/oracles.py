@@ -46,20 +46,16 @@ WITH l AS (
 w AS (
   SELECT doc_id, i, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l),
 solid AS (
-  SELECT doc_id, i, array_to_string(ws, ' ') AS norm, len(ws) AS n,
-         row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o,
-         sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) AS upto
+  SELECT doc_id, i, array_to_string(ws, ' ') AS norm, len(ws) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o
   FROM w WHERE len(ws) > 0),
-reach AS (
-  SELECT a.doc_id, a.i, a.o, min(b.o) AS last_o
-  FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.o >= a.o AND b.upto - a.upto + a.n >= 50
-  GROUP BY ALL),
-win AS (
-  SELECT r.doc_id, r.i AS first, max(s.i) AS last, string_agg(s.norm, chr(10) ORDER BY s.o) AS content
-  FROM reach r JOIN solid s ON s.doc_id = r.doc_id AND s.o BETWEEN r.o AND r.last_o GROUP BY ALL),
+pairs AS (
+  SELECT b.doc_id, b.i, b.o, b.n, a.doc_id AS from_id, b.o - a.o AS shift
+  FROM solid a JOIN solid b USING (norm) WHERE a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.o < b.o)),
+runs AS (
+  SELECT *, o - row_number() OVER (PARTITION BY doc_id, from_id, shift ORDER BY o) AS run FROM pairs),
 later AS (
-  SELECT doc_id, first, last FROM win
-  QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, first) > 1),
+  SELECT DISTINCT first, last, doc_id FROM (
+    SELECT doc_id, min(i) AS first, max(i) AS last FROM runs GROUP BY doc_id, from_id, shift, run HAVING sum(n) >= 50)),
 gone AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN later k ON k.doc_id = l.doc_id AND l.i BETWEEN k.first AND k.last),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
