@@ -9,7 +9,8 @@ threshold (from the partition's upper size and the item's size), and enough
 min-hashes are compared that a leak escapes with probability below
 ``MISS``.  Where that would take more than ``MAX_HASHES`` min-hashes, the grams
 themselves are compared instead, which misses nothing.  Candidates are verified
-by exact containment.
+by exact containment.  An item of fewer than 5 words is one gram of its words; documents
+are cut into grams of that length too.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ def words(text: Column) -> Column:
 
 
 def gram_hashes(tokens: Column, n: int = 5) -> Column:
-    """Hashes of the word ``n``-grams; fewer words are one gram."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - F.lit(n), F.lit(0)))
+    """Hashes of the word ``n``-grams; none of fewer words."""
+    starts = F.sequence(F.lit(0), F.size(tokens) - F.lit(n))
     grams = F.transform(starts, lambda i: F.xxhash64(*(F.get(tokens, i + F.lit(k)) for k in range(n))))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<long>")).otherwise(grams)
+    return F.when(F.size(tokens) < n, F.array().cast("array<long>")).otherwise(grams)
 
 
 def _band(size: Column) -> Column:
@@ -52,16 +53,22 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75) -> D
     and item of which the document holds at least ``percent`` % of the grams.
 
     * Null and wordless texts hold nothing and match nothing; an item with fewer
-      than ``n`` words matches only documents consisting of just those words.
+      than ``n`` words leaks into every document that holds these words in a row.
     * Rows that share a ``doc_id`` (null included) count as one document, rows
       that share an ``item_id`` as one item; an empty side gives no rows.
     * Extra columns are ignored.
     """
-    item_grams = materialize(
-        items.select("item_id", F.explode(gram_hashes(words(F.col("text")), n)).alias("gram")).distinct(), "item-grams")
+    cut = materialize(items.select("item_id", words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0), "item-words")
+    short = cut.select(F.size("tokens").alias("m")).where(F.col("m") < n).distinct()
+    lengths = [*sorted(r.m for r in short.collect()), n]  # at most ``n`` numbers
+    whole = F.when(F.size("tokens") < n, F.array().cast("array<long>")).otherwise(gram_hashes(F.col("tokens"), n))
+    for m in lengths[:-1]:
+        whole = F.when(F.size("tokens") == m, gram_hashes(F.col("tokens"), m)).otherwise(whole)
+    item_grams = materialize(cut.select("item_id", F.explode(whole).alias("gram")).distinct(), "item-grams")
     known = materialize(item_grams.select("gram").distinct(), "known-grams")
     tokens = docs.select("doc_id", words(F.col("text")).alias("tokens"))
-    grams = tokens.select("doc_id", F.explode(gram_hashes(F.col("tokens"), n)).alias("gram"))
+    all_lengths = F.concat(*(gram_hashes(F.col("tokens"), m) for m in lengths))
+    grams = tokens.select("doc_id", F.explode(all_lengths).alias("gram"))
     hits = grams.join(small(known), "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
     hits = materialize(hits.select("doc_id", "grams", _band(F.size("grams")).alias("part")), "hits")
 

@@ -88,9 +88,10 @@ WITH t AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
 w AS (
   SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t),
+lengths AS (SELECT DISTINCT len(ws) AS m FROM w WHERE kind = 'i' AND len(ws) BETWEEN 1 AND 4 UNION SELECT 5),
 g AS (
-  SELECT DISTINCT kind, id, unnest(list_transform(range(greatest(len(ws) - 4, 1)), lambda i: array_to_string(ws[i + 1:i + 5], ' '))) AS gram
-  FROM w WHERE len(ws) > 0),
+  SELECT DISTINCT kind, id, unnest(list_transform(range(len(ws) - m + 1), lambda i: array_to_string(ws[i + 1:i + m], ' '))) AS gram
+  FROM w JOIN lengths ON len(ws) >= m WHERE kind = 'd' OR m = least(len(ws), 5)),
 item AS (SELECT id, count(*) AS n FROM g WHERE kind = 'i' GROUP BY id),
 hit AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS o FROM g d JOIN g i ON d.gram = i.gram AND d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item, CAST(o AS BIGINT) AS n_shared, o / CAST(n AS DOUBLE) AS containment

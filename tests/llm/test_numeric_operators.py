@@ -133,13 +133,21 @@ def test_leaks_match_brute_force(make):
 
     docs, items = leak_rows()
 
-    def grams(text):
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
-        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    items = [*items, (900, "alpha beta gamma"), (901, "Alone"), (902, "one two three four")]
+    docs = [*docs, (900, "x y Alpha, beta gamma z w"), (901, "alpha beta"), (902, "it stands alone here"), (903, "one two three four"),
+            (904, "alpha beta x gamma " * 30), (905, "gamma alpha " * 900 + "beta gamma")]
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+    def grams(text, m):
+        return {tuple(words(text)[i:i + m]) for i in range(len(words(text)) - m + 1)}
+    own = {i: grams(t, min(5, len(words(t)))) for i, t in items if words(t)}
     held = {}
     for i, t in docs:
-        held.setdefault(i, set()).update(grams(t))
-    want = {(d, i, len(g), len(g & s)) for d, s in held.items() for i, t in items if (g := grams(t)) and 100 * len(g & s) >= 75 * len(g)}
+        held.setdefault(i, set()).update(*(grams(t, m) for m in range(1, 6)))
+    want = {(d, i, len(g), len(g & s)) for d, s in held.items() for i, g in own.items() if 100 * len(g & s) >= 75 * len(g)}
+    assert {(900, 900, 1, 1), (902, 901, 1, 1), (903, 902, 1, 1), (905, 900, 1, 1)} <= want
     frame = make(docs).selectExpr("*", "1 as item_id", "'x' as gram")
     got = leaks(frame, make(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got} == want and len(got) == len(want)
