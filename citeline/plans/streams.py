@@ -14,7 +14,7 @@ from citeline.plans.registry import query
 from citeline.plans.web import SQL_REQUESTS, requests as url_requests
 from citeline.session import scratch_path, written
 from citeline.sources.tables import read_table
-from citeline.streaming.ingest import ingest_pages, page_stream, run_to_table
+from citeline.streaming.ingest import ingest_pages, page_stream, run_to_table, table_path
 from citeline.streaming.registry import SourceRegistry
 from citeline.streaming.ttl import ttl_stream
 
@@ -57,7 +57,7 @@ def page_ingest_stream(spark, base):
     """ST3: pages arriving as files are extracted incrementally."""
     # the driver tables are one row group per file: spread each batch over the task slots
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = run_to_table(ingest_pages(page_stream(spark, base, "pages.parquet", spread_to=slots), SOURCE_CONTENT_MAX),
+    out = run_to_table(ingest_pages(page_stream(spark, table_path(base, "pages"), "*", spread_to=slots), SOURCE_CONTENT_MAX),
                        f"ingest-{uuid.uuid4().hex}")
     return out.select("page_id", "url", "title", "description", "publish_date", "content")
 

@@ -23,9 +23,16 @@ def first_seen_stream(requests: DataFrame, keys: list[str], ts: str | None = Non
     return requests.dropDuplicates(keys)
 
 
+def table_path(base: str, name: str) -> str:
+    """The table ``name`` in ``base``, one file or a folder of files, as a pattern: a stream
+    takes a single file only by a pattern, and a file name filter misses the files of a folder."""
+    return f"{base.rstrip('/')}/{name}.parque[t]"
+
+
 def page_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
                 max_files: int | None = None, spread_to: int | None = None) -> DataFrame:
-    """S1 on a stream: pages arriving as parquet files in ``directory``.
+    """S1 on a stream: pages arriving as parquet files in ``directory`` (a path or a pattern of paths);
+    ``glob`` filters file names.
 
     ``spread_to`` redistributes each micro-batch round robin before the
     CPU-bound extraction; use it when batches consist of a few large files
@@ -51,4 +58,4 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     q = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)     # a stream without rows leaves no file to take the schema from
