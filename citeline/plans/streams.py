@@ -73,7 +73,7 @@ def url_dedup_stream(spark, base):
     from citeline.plans.web import MISSING
     from citeline.streaming.ingest import first_seen_stream
 
-    p = page_stream(spark, base, "pages.parquet").withColumn("research_id", site_col())
+    p = page_stream(spark, table_path(base, "pages"), "*").withColumn("research_id", site_col())
     req = (p.select("research_id", "url")
            .unionByName(p.select("research_id", "url"))
            .unionByName(p.select("research_id", F.concat("url", F.lit(MISSING)).alias("url"))))

@@ -33,7 +33,7 @@ def rows_of(spark, name, base):
     return sorted(map(tuple, QUERIES[name](spark, base).collect()))
 
 
-@pytest.mark.parametrize("name", ["page_ingest_stream"])
+@pytest.mark.parametrize("name", ["page_ingest_stream", "url_dedup_stream"])
 def test_table_of_many_files_streams_like_one_file(spark, name):
     one = rows_of(spark, name, folder(PAGES, 1))
     assert len(one) == {"page_ingest_stream": 10, "url_dedup_stream": 2 * len({r[1] for r in PAGES})}[name]
