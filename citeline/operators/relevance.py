@@ -10,14 +10,23 @@ A run's outline is short, its sources are many.  So all sections of a run become
 source's text is tested for the run's distinct keywords and every section that
 sees the source is scored from those found.  Nothing is exploded but the
 scores above zero; they feed a top-10 that Spark limits in every task
-before the shuffle.  The outlines are written and counted, and broadcast when they are few; else both
-sides shuffle, and AQE splits a run with most sources, as the outline side has one row per run.
+before the shuffle.  The outlines are written and counted.  Few are broadcast, and the distinct words of
+a source are looked up in them by the keywords' first characters: the work grows with the text, however
+many keywords its run has.  Else both sides shuffle, and AQE splits a run with most sources, as the
+outline side has one row per run.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from citeline.functions import text as tx
 from citeline.functions.arrays import ordered_values
@@ -54,6 +63,89 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+WORDS_KEPT = 200_000   # words whose keywords a task remembers
+HITS_AT_ONCE = 500_000  # scores that a task puts out in one batch
+
+
+class _Outline:
+    """The sections of a run: keywords by their first characters, and where each of them counts."""
+
+    def __init__(self, outline):
+        self.sections = [o["sec"] for o in outline]
+        self.steps = np.array([np.iinfo(np.int64).min if o["step"] is None else o["step"] for o in outline], np.int64)
+        self.counted = np.array([o["step"] is not None for o in outline], bool)
+        places = defaultdict(list)
+        for at, o in enumerate(outline):
+            for word in o["words"]:
+                places[word].append(at)
+        self.places = [np.array(p, np.int64) for p in places.values()]
+        self.starts = defaultdict(list)
+        for number, word in enumerate(places):
+            self.starts[word[:KEYWORD_MIN + 1]].append((word, number))
+        self.known: dict[str, tuple] = {}
+
+    def inside(self, word: str) -> tuple:
+        """Numbers of the keywords that occur in ``word``."""
+        found = self.known.get(word)
+        if found is None:
+            found = tuple({n for i in range(len(word) - KEYWORD_MIN) for k, n in self.starts.get(word[i:i + KEYWORD_MIN + 1], ())
+                           if word.startswith(k, i)})
+            if len(self.known) >= WORDS_KEPT:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def scores(self, body: str) -> np.ndarray:
+        """Score of every section: a keyword has no white space, so it occurs in a text if it occurs in one of its words."""
+        present = {n for word in set(body.split()) for n in self.inside(word)}
+        if not present:
+            return np.zeros(len(self.sections), np.int64)
+        return np.bincount(np.concatenate([self.places[n] for n in present]), minlength=len(self.sections))
+
+
+def _few_outlines(lists: DataFrame, sources: DataFrame, run: str, sec: str, src: str, body: Column, asof: bool) -> DataFrame:
+    """(run, src, step, hits) for sources of runs whose outlines fit a broadcast."""
+    shared = sources.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in lists.select(run, "outline").collect()})
+    rows = sources.where(F.col(run).isNotNull()).select(run, src, "step", body.alias("_body"))
+    kind = lists.schema["outline"].dataType.elementType["sec"].dataType
+    hit = T.StructType([T.StructField("sec", kind), T.StructField("score", T.LongType())])
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("hits", T.ArrayType(hit))])
+    names, sec_type = schema.names, to_arrow_type(kind)
+
+    def emit(batches: Iterator[pa.RecordBatch]):
+        opened: dict = {}
+        for batch in batches:
+            runs, steps = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            kept, secs, scores, total = [], [], [], 0
+
+            def out():
+                sizes = np.cumsum([0] + [len(x) for x in scores])
+                flat = pa.StructArray.from_arrays([pa.array([v for part in secs for v in part], sec_type),
+                                                   pa.array(np.concatenate(scores).astype(np.int64))], ["sec", "score"])
+                hits = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept)) for c in range(3)), hits], names)
+
+            for at, (key, step, text) in enumerate(zip(runs, steps, batch.column(3))):
+                if key not in shared.value or (asof and step is None):
+                    continue
+                if key not in opened:
+                    opened[key] = _Outline(shared.value[key])
+                outline = opened[key]
+                found = outline.scores(text.as_py())
+                seen = np.flatnonzero((found > 0) & outline.counted & (outline.steps >= step) if asof else found > 0)
+                if len(seen):
+                    kept.append(at)
+                    secs.append([outline.sections[i] for i in seen])
+                    scores.append(found[seen])
+                    total += len(seen)
+                if total >= HITS_AT_ONCE:
+                    yield out()
+                    kept, secs, scores, total = [], [], [], 0
+            if kept:
+                yield out()
+    return rows.mapInArrow(emit, schema)
+
+
 def scored_sources(sections: DataFrame, sources: DataFrame, run: str = "research_id", sec: str = "sec_id",
                    src: str = "seq", asof: bool = True) -> DataFrame:
     """(run, sec, src, step, score) of every visible source with a score above
@@ -62,18 +154,20 @@ def scored_sources(sections: DataFrame, sources: DataFrame, run: str = "research
     body = F.lower(F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in found]))
     seen = F.filter("outline", lambda o: o["step"] >= F.col("step")) if asof else F.col("outline")
 
-    def scores(present: Column) -> Column:
-        def score(o: Column) -> Column:
-            return F.size(F.filter(o["words"], lambda w: F.array_contains(present, w))).cast("long")
-        return F.filter(F.transform(seen, lambda o: F.struct(o["sec"].alias("sec"), score(o).alias("score"))),
-                        lambda x: x["score"] > 0)
-
-    present = _let(body, lambda b: F.filter("keywords", lambda k: F.contains(b, k)))
     lists = written(outlines(sections, run, sec), "outlines")
     n_words = lists.agg(F.sum(F.size("keywords") + 2 * F.size(F.flatten("outline.words")))).first()[0] or 0
-    lists = F.broadcast(lists) if n_words <= BROADCAST_WORDS else lists
-    joined = sources.select(run, src, "step", *found).join(lists, run)
-    hits = joined.select(run, src, "step", F.explode(_let(present, scores)).alias("hit"))
+    if n_words <= BROADCAST_WORDS:
+        scored = _few_outlines(lists, sources, run, sec, src, body, asof)
+    else:
+        def scores(present: Column) -> Column:
+            def score(o: Column) -> Column:
+                return F.size(F.filter(o["words"], lambda w: F.array_contains(present, w))).cast("long")
+            return F.filter(F.transform(seen, lambda o: F.struct(o["sec"].alias("sec"), score(o).alias("score"))),
+                            lambda x: x["score"] > 0)
+
+        present = _let(body, lambda b: F.filter("keywords", lambda k: F.contains(b, k)))
+        scored = sources.select(run, src, "step", *found).join(lists, run).select(run, src, "step", _let(present, scores).alias("hits"))
+    hits = scored.select(run, src, "step", F.explode("hits").alias("hit"))
     return hits.select(run, F.col("hit.sec").alias(sec), src, "step", F.col("hit.score").alias("score"))
 
 

@@ -9,6 +9,9 @@ reference, where a section only sees the registry as it stood then.
 
 The stand-in rows reach every branch: every seventh document has no content but
 a snippet, and every fifth section a title too short for keywords.
+
+``section_relevance`` takes the whole corpus as one run: every question is a section of it
+and scores every document that arrived before.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from citeline.plans.registry import query
 from citeline.sources.tables import read_table, spread
 
 SNIPPET_CHARS = 700
+RUN = "corpus"
 
 
 def corpus_sources(spark, base):
@@ -32,12 +36,29 @@ def corpus_sources(spark, base):
                     F.array(F.left("text", F.lit(SNIPPET_CHARS))).alias("snippets"))
 
 
+def section_step(questions, docs):
+    max_doc = docs.agg(F.max("doc_id")).scalar()
+    max_item = questions.agg(F.max("item_id")).scalar()
+    return F.floor((F.col("item_id") + 1) * (max_doc + 1) / (max_item + 1)) - 1
+
+
+def whole_sources(spark, base):
+    d = spread(read_table(spark, base, "documents", "doc_id", "text"))
+    return d.select(F.lit(RUN).alias("research_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("step"),
+                    doc_title().alias("title"), F.lit("").alias("description"), F.col("text").alias("content"))
+
+
+def whole_sections(spark, base):
+    b = read_table(spark, base, "benchmark", "item_id", "text")
+    step = section_step(b, read_table(spark, base, "documents", "doc_id"))
+    return b.select(F.lit(RUN).alias("research_id"), F.col("item_id").alias("sec_id"), step.cast("long").alias("step"),
+                    F.col("text").alias("title"))
+
+
 def corpus_sections(spark, base):
     b = read_table(spark, base, "benchmark", "item_id", "text")
     docs = read_table(spark, base, "documents", "doc_id", "source")
-    max_doc = docs.agg(F.max("doc_id")).scalar()
-    max_item = b.agg(F.max("item_id")).scalar()
-    step = F.floor((F.col("item_id") + 1) * (max_doc + 1) / (max_item + 1)) - 1
+    step = section_step(b, docs)
     title = F.when(F.col("item_id") % 5 == 3, F.left("text", F.lit(rv.KEYWORD_MIN))).otherwise(F.col("text"))
     runs = docs.select(F.col("doc_id").alias("item_id"), F.coalesce("source", F.lit("")).alias("research_id"))
     return b.join(runs, "item_id").select("research_id", F.col("item_id").alias("sec_id"), step.cast("long").alias("step"),
@@ -66,10 +87,25 @@ FROM kw JOIN src ON src.research_id = kw.research_id AND src.doc_id <= kw.step A
 GROUP BY kw.item_id, src.doc_id"""
 
 
-@query("section_relevance", SQL_RELEVANCE)
+SQL_WHOLE = f"""
+WITH sec AS (SELECT item_id, text AS title,
+                    ((item_id + 1) * ((SELECT max(doc_id) FROM documents) + 1)) // ((SELECT max(item_id) FROM benchmark) + 1) - 1 AS step
+             FROM benchmark),
+kw AS (SELECT item_id, step, kw, count(*) AS mult
+       FROM (SELECT item_id, step, unnest(regexp_split_to_array({sq.strip('lower(title)')}, {sq.lit(sq.R['ws_run'])})) AS kw
+             FROM sec)
+       WHERE length(kw) > 3 GROUP BY item_id, step, kw),
+src AS (SELECT doc_id, lower(content || title || '') AS body
+        FROM (SELECT doc_id, {SQL_DOC_TITLE} AS title, text AS content FROM documents))
+SELECT kw.item_id AS sec_id, src.doc_id AS seq, sum(mult)::BIGINT AS score
+FROM kw JOIN src ON src.doc_id <= kw.step AND contains(src.body, kw.kw)
+GROUP BY kw.item_id, src.doc_id"""
+
+
+@query("section_relevance", SQL_WHOLE)
 def section_relevance(spark, base):
-    """C4+C7+A2: keyword containment score of every visible source per section."""
-    return rv.section_relevance(corpus_sections(spark, base), corpus_sources(spark, base)).drop("research_id")
+    """C4+C7+A2: keyword containment score of every visible document per question, over the whole corpus."""
+    return rv.section_relevance(whole_sections(spark, base), whole_sources(spark, base)).drop("research_id")
 
 
 @query("section_context", f"""
