@@ -10,7 +10,7 @@ import corpus_pipeline
 from citeline.llm.licenses import FORMS, NAMES, rules, scan_licenses
 from citeline.llm.line_dedup import dedup_lines
 
-from citeline.llm.substring_dedup import passages, repeated_passages
+from citeline.llm.substring_dedup import GAP, _diagonal, _diagonals, passages, repeated_passages
 
 
 def repeated_lines(rows, least):
@@ -125,6 +125,21 @@ def test_passages_hold_every_span_of_a_diagonal_that_qualifies():
                     assert any(x <= e and s <= y for x, y, *_ in got)       # every near one is met
 
 
+def test_diagonals_of_many_anchors_are_those_taken_one_by_one():
+    rng = random.Random(14)
+    for same in (False, True) * 20:
+        a = np.array([rng.randrange(12) for _ in range(rng.randrange(5, 60))], np.uint64)
+        b = a if same else np.array([rng.randrange(12) for _ in range(rng.randrange(5, 60))], np.uint64)
+        hits = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]]
+        anchors = rng.sample(hits, min(len(hits), 40))
+        want = {}
+        for i, j in sorted(anchors):
+            if i - j not in want and not (same and i == j) and not any(i in at for d, at in want.items() if abs(d - i + j) <= GAP):
+                want[i - j] = _diagonal(a, b, i - j)
+        got = _diagonals(a, b, np.array(anchors, np.int64).reshape(-1, 2), same)
+        assert list(got) == list(want) and all((got[d] == want[d]).all() for d in want)
+
+
 def test_passages_join_an_insertion_without_the_edited_tail():
     a = np.arange(1, 91, dtype=np.uint64)                       # 26 grams, 5 over the inserted word, 26 grams, an edited tail
     b = np.concatenate([a[:26], np.arange(901, 906, dtype=np.uint64), a[30:56], np.where(a[56:] % 7 == 0, a[56:], a[56:] + 5000)]).astype(np.uint64)
