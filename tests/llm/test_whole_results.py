@@ -163,3 +163,22 @@ def test_substring_dedup_pairs_documents_that_fail_against_the_hub(make):
         for n in (1, 2, 3):
             assert any(s <= 60 and e >= 114 for s, e in spans.get(10 * k + n, [])), (k, n)
     assert len({(r.doc_id, r.start_word, r.match_doc_id, r.match_start_word) for r in got}) == len(got)
+
+
+def test_substring_dedup_pairs_edited_passages_that_fail_against_the_hub(make):
+    rows, words = [], lambda seed, n: prose(seed, n, 10 ** 7)
+    for k in range(12):
+        run, rng = words(1000 + k, 62), random.Random(k)
+        edited, at = list(run), rng.randrange(5, 57)
+        edited[at] = "changed"
+        rows += [(100 * k + n, " ".join(words(2000 + 2 * k + n, 80) + t + words(3000 + 2 * k + n, 80))) for n, t in enumerate((run, edited))]
+        for n in range(10):                                                                     # shorter, with 40 words of 62
+            cut = rng.randrange(23)
+            rows.append((100 * k + 10 + n, " ".join(words(60000 + 20 * k + n, 6) + run[cut:cut + 40] + words(80000 + 20 * k + n, 6))))
+    got = repeated_passages(make(rows)).collect()
+    pairs = {frozenset((r.doc_id, r.match_doc_id)) for r in got}
+    assert all(frozenset((100 * k, 100 * k + 1)) in pairs for k in range(12))
+    for r in got:
+        a, b = (dict(rows)[i].split()[s:e + 1] for i, s, e in ((r.doc_id, r.start_word, r.end_word), (r.match_doc_id, r.match_start_word, r.match_end_word)))
+        x, y = ({tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+        assert len(x & y) >= 0.75 * len(x | y) and min(len(a), len(b)) >= 50
