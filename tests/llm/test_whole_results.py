@@ -4,13 +4,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from llm_fixtures import prose
 
 import corpus_pipeline
 from citeline.llm.licenses import FORMS, NAMES, rules, scan_licenses
 from citeline.llm.line_dedup import dedup_lines
 
-from citeline.llm.substring_dedup import GAP, _diagonal, _diagonals, passages, repeated_passages
+from citeline.llm.substring_dedup import GAP, _diagonal, _diagonals, _meet, _verify, _windows, passages, repeated_passages
 
 
 def repeated_lines(rows, least):
@@ -182,3 +183,36 @@ def test_substring_dedup_pairs_edited_passages_that_fail_against_the_hub(make):
         a, b = (dict(rows)[i].split()[s:e + 1] for i, s, e in ((r.doc_id, r.start_word, r.end_word), (r.match_doc_id, r.match_start_word, r.match_end_word)))
         x, y = ({tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in (a, b))
         assert len(x & y) >= 0.75 * len(x | y) and min(len(a), len(b)) >= 50
+
+
+def test_windows_of_a_text_with_one_key_are_one_row():
+    line = prose(1, 60, 10 ** 6)
+    texts = pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array([" ".join(line * 40), " ".join(line + prose(2, 80, 10 ** 6))])], ["doc_id", "text"])
+    windows = pa.Table.from_batches(list(_windows(50)(iter([texts])))).sort_by([(c, "ascending") for c in ("key", "rank", "doc_id", "place")])
+    rows = windows.to_pylist()
+    assert len({(r["key"], r["doc_id"], r["hub"]) for r in rows}) == len(rows)          # before: one row for each of 40 places
+    met = [r for b in _meet(iter(windows.to_batches(7))) for r in b.to_pylist()]
+    loop = [r for r in met if r["doc_id"] == 3]
+    anchors = {int(x) for r in loop for x in np.frombuffer(r["anchors"], np.int64)}
+    n_windows = sum(1 + len(r["more"]) // 16 for r in rows)
+    assert n_windows > 10 * len(rows) and len(met) <= len(rows)
+    assert sum(len(r["anchors"]) // 8 for r in met) == n_windows - len({r["key"] for r in rows})    # all but each key's first
+    assert all(((x >> 32) - ((x & (1 << 32) - 1) >> 1)) % 60 == 0 for x in anchors) and len(anchors) > 100
+    assert all(len(r["extents"]) == (len(r["anchors"]) // 8 if r["number"] == 0 else 0) for r in met)
+
+
+def test_equal_texts_with_one_hub_are_verified_once(make):
+    run, other = prose(1, 70, 10 ** 6), prose(2, 90, 10 ** 6)
+    text, hub = " ".join(run + other), " ".join(prose(3, 5, 10 ** 6) + run)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1]), pa.array([9]), pa.array([[np.array([20 << 32 | 25 << 1], np.int64).tobytes()]], pa.list_(pa.binary())),
+         pa.array([[1, 5, 7]]), pa.array([text]), pa.array([hub])], ["doc_id", "hub", "anchors", "copies", "text", "hub_text"])
+    rows = pa.Table.from_batches(list(_verify(50, 75)(iter([batch])))).to_pylist()
+    found = [r for r in rows if r["key"] is None]
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["match_doc_id"], r["match_start_word"]) for r in found] == [(d, 0, 69, 9, 5) for d in (1, 5, 7)]
+    stops = {d: {(r["key"], r["place"], r["stop"], r["match"]) for r in rows if r["key"] is not None and r["doc_id"] == d} for d in (1, 5, 7)}
+    assert stops[1] and stops[1] == stops[5] == stops[7]
+    assert len({r["rank"] for r in rows if r["key"] is not None}) == 3
+    got = repeated_passages(make([(9, hub), *((10 + k, text) for k in range(150))])).collect()          # more copies than one row holds
+    assert {10 + k for k in range(150)} <= {i for r in got if r.end_word - r.start_word >= 69 for i in (r.doc_id, r.match_doc_id)}
+    assert sum(r.match_doc_id == 9 for r in got) > 50
