@@ -32,7 +32,7 @@ SKETCH_BLOCKS = 256
 FRAGMENTS = 4          # of the rare and of the frequent grams each
 RARE = 1 << 58         # grams below are of class 0
 FIRST = RARE // FRAGMENTS  # and below this in the first fragment
-WIDE_ROWS = 200_000    # counted pairs with their parts that may be broadcast (about 130 bytes each)
+KEY_ROWS = 100_000     # sides that may be broadcast: several at once stay in the driver's heap; only ids that keep texts in place may be more
 LOCAL_HOT = 16         # postings of one gram that a task may pass on per batch
 
 
@@ -261,12 +261,12 @@ def _count_pairs(docs: DataFrame, pairs: DataFrame, shared, n: int, percent: int
     are left out."""
     pairs = materialize(pairs, "pairs")
     ids = _ends(pairs)
-    wanted = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
+    wanted = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")  # more ids: the texts stay where they are
     parts = wanted.mapInArrow(_segments(shared, n), "doc_id long, version long, fragment int, size long, grams array<long>")
-    keys = small(pairs.select("a", "b"))
+    keys = small(pairs.select("a", "b"), KEY_ROWS)
     side = {s: parts.select(F.col("doc_id").alias(s), F.col("version").alias(f"version_{s}"), "fragment",
                             F.col("size").alias(f"size_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab"}
-    hubs = side["a"].join(small(materialize(pairs.select("a").distinct(), "hubs")), "a", "left_semi")
+    hubs = side["a"].join(small(materialize(pairs.select("a").distinct(), "hubs"), KEY_ROWS), "a", "left_semi")
     both = side["b"].join(keys, "b").join(hubs, ["a", "fragment"])
     key = ["a", "b", "version_a", "version_b", "size_a", "size_b"]
     partial = (both.select(*key, "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
@@ -290,7 +290,7 @@ def _copies(live: DataFrame) -> DataFrame:
            .where("min_pn = max_pn and min_hub_size = max_hub_size").drop("max_pn", "max_hub_size"))
     groups = materialize(one.groupBy("min_pn", "min_hub_size").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("k"))
                          .where("k > 1").drop("k"), "copy-groups")
-    return materialize(one.join(small(groups), ["min_pn", "min_hub_size"]).where("doc_id <> copy_of")
+    return materialize(one.join(small(groups, KEY_ROWS), ["min_pn", "min_hub_size"]).where("doc_id <> copy_of")
                        .select("doc_id", "copy_of"), "copies")
 
 
@@ -298,8 +298,9 @@ def _representatives(live: DataFrame, copies: DataFrame) -> DataFrame:
     """The postings ``(token, pn, doc_id, hub, shared)`` of all but copies, with
     hubs that are no copies (equal sets have equal postings).  ``shared`` tells
     corpus-wide hubs from those of a batch."""
-    hubs = small(copies).select(F.col("doc_id").alias("hub"), "copy_of")
-    rows = live.where("token is not null").join(small(copies), "doc_id", "left_anti").join(hubs, "hub", "left")
+    copies = small(copies, KEY_ROWS)
+    hubs = copies.select(F.col("doc_id").alias("hub"), "copy_of")
+    rows = live.where("token is not null").join(copies, "doc_id", "left_anti").join(hubs, "hub", "left")
     return materialize(rows.select("token", "pn", "doc_id", F.coalesce("copy_of", "hub").alias("hub"),
                                    (F.col("hub_size") > 0).alias("shared")), "representatives")
 
@@ -351,14 +352,14 @@ def _first_fragment(pairs: DataFrame, stars: DataFrame, usable: DataFrame, perce
     fragment.  Its shared grams are all posted, so no text is read for it.  For
     ids with several texts the bounds hold for each of them."""
     pairs = materialize(pairs, "candidates")
-    ids = small(_ends(pairs))
+    ids = small(_ends(pairs), KEY_ROWS)
     tokens = materialize(stars.where(F.col("token") < FIRST).groupBy("doc_id").agg(F.collect_set("token").alias("tokens")),
                          "first-grams").join(ids, "doc_id", "left_semi")
     sets = (usable.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
             .join(tokens, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<long>"))))
     a, b = (sets.toDF(*(f"{c}_{s}" if c != "doc_id" else s for c in sets.columns)) for s in "ab")
     most = F.size(F.array_intersect("tokens_a", "tokens_b")) + F.least("rest_a", "rest_b")
-    return (b.join(small(pairs), "b").join(a, "a")
+    return (b.join(small(pairs, KEY_ROWS), "b").join(a, "a")
             .where(most >= _need(F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
 
 
@@ -375,11 +376,11 @@ def _open_postings(stars: DataFrame, usable: DataFrame, tested: DataFrame, perce
     counted; lists linked throughout are one component.)"""
     stars = stars.where(_in_prefix(percent))
     rows = stars.where("hub <> doc_id").select("token", "doc_id", "hub").join(
-        small(tested.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.lit(True).alias("linked"))),
+        small(tested.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.lit(True).alias("linked")), KEY_ROWS),
         ["hub", "doc_id"], "left")
     grams = (rows.groupBy("token").agg(F.count("*").alias("others"), F.count("linked").alias("linked"))
              .where("others > 1 and linked < others").select("token"))
-    posting = stars.join(small(materialize(grams, "grams")), "token", "left_semi")
+    posting = stars.join(small(materialize(grams, "grams"), KEY_ROWS), "token", "left_semi")
     center = posting.groupBy("token").agg(F.max(F.when(F.col("shared"), F.col("hub"))).alias("shared"),
                                           F.min("hub").alias("local"))
     full = usable.groupBy(F.col("doc_id").alias("hub")).agg(F.min(F.col("usable_rare").isNotNull()).alias("hub_full"))
@@ -400,8 +401,8 @@ def _missed_pairs(posting: DataFrame, tested: DataFrame, links: DataFrame, perce
     A pair needs to be found at its first common gram only, so nothing before
     that one's position is common; and of grams with the same posting list one
     is enough."""
-    near = small(components(links))
-    known = small(tested.where("versions = 1").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "parts"), WIDE_ROWS)
+    near = small(components(links), KEY_ROWS)
+    known = small(tested.where("versions = 1").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "parts"), KEY_ROWS)
     posting = (posting.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(known, ["hub", "doc_id"], "left")
                .select("token", "doc_id", "n", "pos", "usable", "usable_rare", "hub", F.coalesce("hub_full", F.lit(False)).alias("hub_full"),
                        F.coalesce("component_id", "doc_id").alias("c"), (F.col("hub") == F.col("doc_id")).alias("is_hub"), "parts",
@@ -411,14 +412,14 @@ def _missed_pairs(posting: DataFrame, tested: DataFrame, links: DataFrame, perce
     mixed = (posting.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"))
              .where("low < high").select("token", "least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - F.lit(1e-6)))
-    mixed = small(materialize(mixed, "mixed-grams"))
+    mixed = small(materialize(mixed, "mixed-grams"), KEY_ROWS)
     posting = materialize(posting.join(mixed, "token").where(
         F.least(F.col("usable"), F.col("n") - F.col("pos")) >= _need(F.col("n"), partner, percent)).drop("least"), "mixed")
     listed = posting.select("token", F.xxhash64("doc_id", "n").alias("entry")).distinct()
     lists = listed.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor("entry").alias("first"),
                                         F.bit_xor(F.xxhash64("entry")).alias("second"))
     kept = lists.where("k > 1").groupBy("k", "first", "second").agg(F.min("token").alias("token")).select("token")
-    posting = posting.join(small(materialize(kept, "lists")), "token", "left_semi")
+    posting = posting.join(small(materialize(kept, "lists"), KEY_ROWS), "token", "left_semi")
     x, y = ({c: F.col(f"{s}.{c}") for c in posting.columns} for s in "xy")
     need = _need(x["n"], y["n"], percent)
     ahead = F.least(x["n"] - x["pos"], y["n"] - y["pos"])
@@ -460,7 +461,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
                        .mapInArrow(_stars(), POSTINGS), "live")
     copies = _copies(live)
     stars = _representatives(live, copies)
-    usable = small(materialize(_usable(live, stars), "usable"))
+    usable = small(materialize(_usable(live, stars), "usable"), KEY_ROWS)
     tested = _count_pairs(docs, _first_pairs(stars, usable, percent), shared, n, percent)
     posting = _open_postings(stars, usable, tested, percent)
     uncounted = materialize(_possible(posting.where("hub <> doc_id").select("hub", "doc_id", "n").distinct(), usable, percent)

@@ -79,6 +79,21 @@ def test_ngram_hot_lists_are_combined_before_the_shuffle(make, monkeypatch):
     assert got == classes(rows)
 
 
+def test_ngram_sides_beyond_the_limit_are_shuffled(make, monkeypatch):
+    import citeline.llm.ngram_join as module
+    rows, limits, plain = corpus()[::4], [], module.small
+
+    def spy(df, *limit):
+        limits.append(limit)
+        return plain(df, *limit)
+    monkeypatch.setattr(module, "small", spy)
+    monkeypatch.setattr(module, "KEY_ROWS", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(make(rows)).collect()}
+    assert got == classes(rows)
+    # one side at most has the wide limit in a job: the ids whose texts are read, once for each counted table of pairs
+    assert len(limits) > 12 and sum(not x for x in limits) <= 3 and all(x in ((), (0,)) for x in limits)
+
+
 def test_ngram_edges(make, spark):
     assert ngram_components(make([])).collect() == []
     df = make([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, "a b c d e f"), (8, None)]).selectExpr(
