@@ -185,6 +185,21 @@ def test_substring_dedup_pairs_edited_passages_that_fail_against_the_hub(make):
         assert len(x & y) >= 0.75 * len(x | y) and min(len(a), len(b)) >= 50
 
 
+def test_substring_dedup_pairs_passages_that_fail_against_two_shorter_documents(make):
+    rows, words = [], lambda seed, n: prose(seed, n, 10 ** 7)
+    for k in range(16):
+        run, rng = words(1000 + k, 62), random.Random(k)
+        edited = list(run)
+        edited[rng.randrange(4, 58)] = f"changed{rng.randrange(10 ** 9)}"
+        rows += [(1000 * k + n, " ".join(words(2000 + 5 * k + n, 80) + t + words(900000 + 5 * k + n, 80))) for n, t in enumerate((run, edited))]
+        for held, pad in ((40, 3), (49, 5)):                                                    # every run of 40 and of 49 words of the 62
+            for cut in range(63 - held):
+                n = 1000 * k + 100 * pad + cut
+                rows.append((n, " ".join(words(60000 + n, pad) + run[cut:cut + held] + words(8000000 + n, pad))))
+    pairs = {frozenset((r.doc_id, r.match_doc_id)) for r in repeated_passages(make(rows)).collect()}
+    assert pairs == {frozenset((1000 * k, 1000 * k + 1)) for k in range(16)}                    # before: 15 of them
+
+
 def test_windows_of_a_text_with_one_key_are_one_row():
     line = prose(1, 60, 10 ** 6)
     texts = pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array([" ".join(line * 40), " ".join(line + prose(2, 80, 10 ** 6))])], ["doc_id", "text"])
